@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, sharding
+from . import decontaminate, exact_dedup, line_dedup, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": sharding.op2_sharding,
+        "op3_decontamination": decontaminate.op3_decontamination,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op7_quality": quality.op7_quality,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
@@ -20,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_sharding": sharding.OP2_SQL,
+        "op3_decontamination": decontaminate.OP3_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
         "op10_line_dedup": line_dedup.OP10_SQL,
     }
