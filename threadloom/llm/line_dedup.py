@@ -31,12 +31,13 @@ def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_c
 
     place = F.struct("rank", ROW_FILE, ROW_INDEX, "line")
     firsts = windows.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = windows.join(firsts, ["h", "g"]).where(place > F.col("first"))
+    later = windows.hint("merge").join(firsts, ["h", "g"]).where(place > F.col("first"))
     covered = later.groupBy(ROW_FILE, ROW_INDEX).agg(F.collect_set("line").alias("starts"))
     covered = covered.withColumn("removed", F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + window - 1))))))
     covered = ws.write(covered, "covered", [ROW_FILE, ROW_INDEX, "removed"])
 
-    out = texts.join(covered, [ROW_FILE, ROW_INDEX], "left")
+    # the same join at every size: what is covered grows with the texts
+    out = texts.hint("merge").join(covered, [ROW_FILE, ROW_INDEX], "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
     kept = F.when(F.col("removed").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.element_at("lines", i + 1)), "\n"))
     return out.select(ROW_FILE, ROW_INDEX, "doc_id", F.size("lines").alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), kept.alias("kept_text"))
