@@ -87,7 +87,7 @@ def _located(docs: DataFrame) -> tuple[DataFrame, Column, Column] | None:
 def without_rows(docs: DataFrame, ws: Workspace, dropped: DataFrame) -> DataFrame:
     """docs less the rows whose identity is in dropped, with the columns of docs."""
     located = located_docs(docs, ws)
-    kept = located.join(dropped.select(ROW_FILE, ROW_INDEX).distinct(), [ROW_FILE, ROW_INDEX], "left_anti")
+    kept = located.hint("merge").join(dropped.select(ROW_FILE, ROW_INDEX).distinct(), [ROW_FILE, ROW_INDEX], "left_anti")
     return kept.drop(ROW_FILE, ROW_INDEX)
 
 

@@ -74,12 +74,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     state = ws.write(stream_state(arrivals, ws, files_per_trigger), "entries")
 
     hits = state.where("n > 1").select(F.col("digest").alias("hit"))
-    members = ws.write(texts.join(hits, F.col("digest") == F.col("hit"), "left_semi"), "members")
+    members = ws.write(texts.hint("merge").join(hits, F.col("digest") == F.col("hit"), "left_semi"), "members")
     exact = members.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", ROW_FILE, ROW_INDEX)).alias("keeper"))
     apart = exact.groupBy("digest").count().where("count > 1").select("digest")
     apart = ws.write(apart, "apart")
 
-    alike = arrivals.join(state, "digest").join(apart, "digest", "left_anti")
+    alike = arrivals.hint("merge").join(state, "digest").join(apart, "digest", "left_anti")
     differ = members.join(apart, "digest", "left_semi").join(exact, ["digest", "norm"]).drop("norm")
     out = alike.unionByName(differ)
     same = (F.col(ROW_FILE) == F.col(f"keeper.{ROW_FILE}")) & (F.col(ROW_INDEX) == F.col(f"keeper.{ROW_INDEX}"))
