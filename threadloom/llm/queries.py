@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, line_dedup, quality, sharding, toxicity
+from . import decontaminate, exact_dedup, license_scan, line_dedup, quality, segmentation, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": sharding.op2_sharding,
         "op3_decontamination": decontaminate.op3_decontamination,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_license_scan": license_scan.op6_license_scan,
         "op7_quality": quality.op7_quality,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_segmentation": segmentation.op9_segmentation,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
