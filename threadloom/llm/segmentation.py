@@ -22,8 +22,6 @@ SPACE = "▁"
 _UNIT = re.compile("\n| *[^ \n]+| +")
 
 
-#: Words of a batch whose lattices are built together, and characters beyond which a word's lattice is built alone.
-_TOGETHER, _LONG = 4096, 48
 _BASE = 0xC2B2AE3D27D4EB4F
 
 
@@ -62,7 +60,10 @@ class Pieces:
                 weight[i] = -np.log(1.0 - sp.get_score(i) if -n < sp.get_score(i) <= 0 else n)
         slots, hashes = np.full(1 << 18, -1, np.int32), np.zeros(n, np.uint64)
         for piece, i in ids.items():
-            hashes[i] = h = _span_hashes(np.array([ord(c) for c in piece], np.uint32), len(piece))[0]
+            h = np.zeros(1, np.uint64)
+            for c in piece:
+                h = h * np.uint64(_BASE) + _key(np.array([ord(c)], np.uint32))
+            hashes[i] = h = _finish(h, len(piece))[0]
             at = int(h >> np.uint64(46))
             while slots[at] >= 0:
                 at = (at + 1) % len(slots)
@@ -83,65 +84,88 @@ class Pieces:
         return out
 
 
-def _span_hashes(codes: np.ndarray, length: int) -> np.ndarray:
-    """Hash of each run of so many characters."""
-    k = _key(codes)
-    n = max(0, len(k) - length + 1)
-    h = np.full(n, length, np.uint64)
-    for i in range(length):
-        h = h * np.uint64(_BASE) + k[i : i + n]
-    return mix(h)
+def _finish(h: np.ndarray, length: int) -> np.ndarray:
+    return mix(h ^ np.uint64(length * 0x2545F4914F6CDD1D & (1 << 64) - 1))
 
 
-def _lattices(units: list[str], pieces: Pieces, theta: float) -> tuple[np.ndarray, ...]:
-    """Edges into every place of every unit: number of edges by place (places 0 to length of each unit in turn), and start, id
-    and cumulative probability of each edge, by forward filtering. Id -1 stands for the bytes of a character that is no piece."""
-    length = np.array([len(u) for u in units], np.int64)
+@dataclass
+class Lattices:
+    """Lattices of all units, the longest unit first. Place (unit, end) has number depth[end] + unit; its edges, the longest piece first, are
+    those from first[place] on, with the place in the unit where each starts, its piece (-1: the bytes of a character that is no
+    piece) and its cumulative probability among the edges into the place, by forward filtering."""
+
+    units: list[str]
+    length: np.ndarray
+    depth: np.ndarray
+    first: np.ndarray
+    start: np.ndarray
+    piece: np.ndarray
+    chance: np.ndarray
+
+
+def _lattices(names: list[str], pieces: Pieces, theta: float) -> tuple[np.ndarray, Lattices]:
+    """(new number of each unit, lattices)."""
+    size = np.array([len(u) for u in names], np.int64)
+    order = np.argsort(-size, kind="stable")
+    units, length = [names[i] for i in order], size[order]
+    number = np.empty(len(names), np.int64)
+    number[order] = np.arange(len(names))
     # U+2581 itself isn't a space: no piece has a NUL
     codes = np.frombuffer("".join(units).replace(SPACE, "\0").replace(" ", SPACE).encode("utf-32-le"), np.uint32)
-    base = np.cumsum(length) - length
-    deep, n, wide = int(length.max()), len(units), min(pieces.longest, int(length.max()))
-    ids = np.full((n, deep, wide), -1, np.int32)  # by unit, last character, length less 1
-    unit = np.repeat(np.arange(n), length)
-    pos = np.arange(len(codes)) - base[unit]
-    k, h = _key(codes), np.zeros(0, np.uint64)
-    for size in range(1, wide + 1):
-        ok = np.flatnonzero(pos >= size - 1)
-        if not len(ok):
-            break
-        h = np.full(len(ok), size, np.uint64)
-        for i in range(size - 1, -1, -1):
-            h = h * np.uint64(_BASE) + k[ok - i]
-        ids[unit[ok], pos[ok], size - 1] = pieces.find(mix(h))
-    some = ids >= 0
-    bare = ~some[:, :, 0] & (np.arange(deep) < length[:, None])
+    deep = int(length[0])
+    alive = np.searchsorted(-length, -np.arange(deep + 1), "right")  # units that reach each place
+    depth = np.append(0, np.cumsum(alive))
+    unit = np.repeat(np.arange(len(units)), length)
+    pos = np.arange(len(codes)) - np.repeat(np.cumsum(length) - length, length)
+    k, found = _key(codes), []
+    h = np.zeros(len(codes), np.uint64)
+    at = np.arange(len(codes))
+    for n in range(1, min(pieces.longest, deep) + 1):
+        # h: hash of the n characters up to each place of at
+        if n > 1:
+            at = at[pos[at] >= n - 1]
+            h = prior[at - 1]
+        h = h * np.uint64(_BASE) + k[at]
+        got = pieces.find(_finish(h, n))
+        hit = got >= 0
+        found.append((at[hit], got[hit], np.full(int(hit.sum()), n)))
+        if n == 1:
+            bare = at[~hit]
+            found.append((bare, np.full(len(bare), -1), np.ones(len(bare), np.int64)))
+        prior = np.zeros(len(codes), np.uint64)
+        prior[at] = h
+    char, piece, n = (np.concatenate([f[i] for f in reversed(found)]) for i in range(3))
+    place = depth[pos[char] + 1] + unit[char]
+    sort = np.argsort(place, kind="stable")
+    place, piece, n, char = place[sort], piece[sort], n[sort], char[sort]
+    start, owner = pos[char] + 1 - n, unit[char]
+    total = depth[-1]
+    first = np.searchsorted(place, np.arange(total + 1))
     least = pieces.weight[np.isfinite(pieces.weight)].min(initial=0.0)
-    w = np.where(some, theta * pieces.weight[np.maximum(ids, 0)], -np.inf)
-    w[:, :, 0] = np.where(bare, theta * least, w[:, :, 0])
-    forward = np.full((n, deep + 1), -np.inf)
-    forward[:, 0] = 0.0
-    chance = np.zeros((n, deep, wide))
+    weight = np.exp(theta * np.where(piece >= 0, pieces.weight[piece], least) + 3.0 * n)  # 3 for each character: keeps sums near 1
+    source = depth[start] + owner
+    forward = np.zeros(total)
+    forward[: alive[0]] = 1.0
+    share = np.zeros(len(place))
     for end in range(1, deep + 1):
-        on = np.flatnonzero(length >= end)
-        m = min(wide, end)
-        ways = forward[on, end - m : end][:, ::-1] + w[on, end - 1, :m]
-        top = ways.max(1, keepdims=True)
-        ways = np.exp(ways - top)
-        total = ways.sum(1, keepdims=True)
-        forward[on, end] = (top + np.log(total))[:, 0]
-        chance[on, end - 1, :m] = ways / total
-    u, end, size = np.nonzero((some | (np.arange(wide) == 0) & bare[:, :, None]) & (chance > 0))
-    count = np.zeros((n, deep + 1), np.int64)
-    np.add.at(count.reshape(-1), u * (deep + 1) + end + 1, 1)
-    count = count[np.arange(deep + 1) <= length[:, None]]
-    p = chance[u, end, size]
-    key = u * deep + end
-    new = np.append(True, key[1:] != key[:-1])
-    run = np.cumsum(p)
-    before = np.repeat((run - p)[new], np.diff(np.append(np.flatnonzero(new), len(p))))
-    sofar = np.minimum(run - before, 1.0)
-    sofar[np.append(new[1:], True)] = 1.0
-    return count, end - size, ids[u, end, size].astype(np.int64), sofar
+        a, b = first[depth[end]], first[depth[end + 1]]
+        ways = forward[source[a:b]] * weight[a:b]
+        heads = first[depth[end] : depth[end + 1]] - a
+        sums = np.add.reduceat(ways, heads)
+        share[a:b] = ways / np.repeat(sums, np.diff(np.append(heads, b - a)))
+        forward[depth[end] : depth[end + 1]] = sums
+        if end % 16 == 0 and end < deep:  # only ratios within the longest piece's reach count
+            m = alive[end + 1]
+            back = [slice(depth[e], depth[e] + m) for e in range(max(0, end - pieces.longest), end + 1)]
+            top = np.maximum.reduce([forward[x] for x in back])
+            for x in back:
+                forward[x] /= top
+    run = np.cumsum(share)
+    head = first[place]
+    chance = run - (run[head] - share[head])
+    last = np.append(place[1:] != place[:-1], True)
+    chance[last] = 2.0
+    return number, Lattices(units, length, depth, first, start, piece, chance)
 
 
 @dataclass
@@ -152,20 +176,6 @@ class Sampler:
     theta: float = 1.0
     seed: int = 0
 
-    def edges(self, names: list[str]) -> tuple[np.ndarray, ...]:
-        """_lattices() of all units, built for those of like length together."""
-        pieces = Pieces.load(self.path)
-        size = np.array([len(u) for u in names])
-        order = np.argsort(size, kind="stable")
-        made, first = [], 0
-        while first < len(names):
-            longest = max(1, int(size[order[min(first + _TOGETHER, len(names)) - 1]]))
-            last = min(first + (_TOGETHER if longest <= _LONG else max(1, _TOGETHER * _LONG // longest // 4)), len(names))
-            made.append(_lattices([names[i] for i in order[first:last]], pieces, self.theta))
-            first = last
-        count, starts, ids, chances = (np.concatenate(x) for x in zip(*made, strict=True))
-        return order, count, starts, ids, chances
-
     def encode(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, number of ids of each text). A text's sample depends on its key and the seed only.
 
@@ -179,39 +189,35 @@ class Sampler:
         if not len(word):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         names = list(units)
-        order, count, starts, ids, chances = self.edges(names)
-        place_of = np.empty(len(names), np.int64)
-        place_of[order] = np.arange(len(names))
-        word = place_of[word]
-        names = [names[i] for i in order]
-        length = np.array([len(u) for u in names], np.int64)
-        base = np.append(0, np.cumsum(length + 1))
-        first = np.cumsum(count) - count
-        grid = np.repeat(np.arange(len(count)), count) + chances  # rises over all edges: place + chance
+        number, lat = _lattices(names, Pieces.load(self.path), self.theta)
+        word = number[word]
         row = np.repeat(np.arange(len(texts)), n_units)
         nth = np.arange(len(word)) - np.repeat(np.cumsum(n_units) - n_units, n_units)
         with np.errstate(over="ignore"):
             seeds = mix(mix(keys.astype(np.uint64) + np.uint64(self.seed) * np.uint64(_BASE))[row] + nth.astype(np.uint64))
-        live, place = np.arange(len(word)), length[word]
+        live, place = np.arange(len(word)), lat.length[word]
         steps, taken = np.zeros(len(word), np.int32), []
         while len(live):
             u = (mix(seeds[live] + np.uint64((len(taken) + 1) * _BASE & (1 << 64) - 1)) >> np.uint64(11)).astype(float) * 2.0**-53
-            at = base[word[live]] + place
-            edge = np.clip(np.searchsorted(grid, at + u, "right"), first[at], first[at] + count[at] - 1)
+            edge = lat.first[lat.depth[place] + word[live]]
+            going = np.flatnonzero(u >= lat.chance[edge])
+            while len(going):
+                edge[going] += 1
+                going = going[u[going] >= lat.chance[edge[going]]]
             taken.append((live, edge))
             steps[live] += 1
-            place = starts[edge]
+            place = lat.start[edge]
             more = place > 0
             live, place = live[more], place[more]
         end = np.cumsum(steps)
         edges = np.empty(int(end[-1]), np.int64)
         for k, (w, e) in enumerate(taken):
             edges[end[w] - 1 - k] = e
-        out, at_row = ids[edges], np.repeat(row, steps)
+        out, at_row = lat.piece[edges], np.repeat(row, steps)
         bad = np.flatnonzero(out < 0)
         if len(bad):
-            owner = np.searchsorted(base, np.searchsorted(np.cumsum(count), edges[bad], "right"), "right") - 1
-            spelled = [self.spell(names[o][int(s)]) for o, s in zip(owner, starts[edges[bad]], strict=True)]
+            owner = np.repeat(word, steps)[bad]
+            spelled = [self.spell(lat.units[o][int(i)]) for o, i in zip(owner, lat.start[edges[bad]], strict=True)]
             size = np.ones(len(out), np.int64)
             size[bad] = [len(b) for b in spelled]
             spread, to = np.repeat(out, size), np.cumsum(size) - size
