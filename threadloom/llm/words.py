@@ -76,9 +76,7 @@ class Words:
 
     def grams(self, k: int) -> np.ndarray:
         """Hash of words i to i+k-1 for each i that has k words after it; runs over a text's end mean nothing."""
-        n = max(0, len(self.hashes) - k + 1)
-        at = np.arange(n)
-        return spans_hash(self.hashes, at, at + k, _STEP)
+        return grams_of(self.hashes, k)
 
     def whole(self, i: int) -> int:
         """Hash of all words of text i of this chunk, as grams() gives it for that many words."""
@@ -133,3 +131,9 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
         out = np.minimum(out[:-step], out[step:])
         have += step
     return out
+
+
+def grams_of(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k word hashes."""
+    at = np.arange(max(0, len(hashes) - k + 1))
+    return spans_hash(hashes, at, at + k, _STEP)
