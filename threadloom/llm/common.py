@@ -84,6 +84,11 @@ def _located(docs: DataFrame) -> tuple[DataFrame, Column, Column] | None:
         return None
 
 
+def stored(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """docs, or a copy in the shared folder where its rows have no place of their own yet."""
+    return docs if _located(docs) else ws.write(docs, "stored")
+
+
 def without_rows(docs: DataFrame, ws: Workspace, dropped: DataFrame) -> DataFrame:
     """docs less the rows whose identity is in dropped, with the columns of docs."""
     located = located_docs(docs, ws)

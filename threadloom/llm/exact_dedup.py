@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_FILE, ROW_INDEX, Workspace, lower_ascii, text_rows, without_rows
+from .common import ROW_FILE, ROW_INDEX, Workspace, lower_ascii, stored, text_rows, without_rows
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -89,16 +89,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of equal texts; all columns as they are."""
     ws = Workspace(docs.sparkSession, "exact_drop")
-    found = exact_duplicates(docs if _stored(docs) else ws.write(docs, "input"), id_col, text_col)
+    docs = stored(docs, ws)
+    found = exact_duplicates(docs, id_col, text_col)
     return without_rows(docs, ws, found.where(~F.col("kept")))
 
 
-def _stored(docs: DataFrame) -> bool:
-    from .common import _located
-
-    return _located(docs) is not None
-
-
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))

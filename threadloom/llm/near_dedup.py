@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_FILE, ROW_INDEX, Workspace, connected_components, text_rows, without_rows
+from .common import ROW_FILE, ROW_INDEX, Workspace, connected_components, stored, text_rows, without_rows
 from .words import LOWER, chunked_words, mix
 
 #: Documents up to which a shingle counts as rare, and documents compared together; larger groups are cut into blocks, two and two.
@@ -318,6 +318,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id (a null id is the largest; of repeated ids the row stored first); texts without words all stay."""
     ws = Workspace(docs.sparkSession, "near_drop")
+    docs = stored(docs, ws)
     found = ws.write(near_duplicates(docs, shingle_words, percent), "found").where("component IS NOT NULL")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *_ID)
     stays = found.groupBy("component").agg(F.min(place).alias("stays"))
