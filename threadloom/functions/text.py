@@ -56,7 +56,6 @@ def normal_form(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
 
 
-@F.arrow_udf("string")
 def _normal_forms(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else normal_form(t) for t in texts.to_pylist()], pa.string())
 
@@ -65,7 +64,7 @@ def normalize(text: Column) -> Column:
     """Compatibility form, case folded, white space collapsed. ASCII texts stay in the JVM."""
     ascii_ = text.rlike(_ASCII)
     plain = F.trim(F.regexp_replace(F.lower(text), r"[\t-\r\x1c-\x1f ]+", " "))
-    return F.when(ascii_, plain).otherwise(_normal_forms(F.when(~ascii_, text)))
+    return F.when(ascii_, plain).otherwise(F.arrow_udf(_normal_forms, "string")(F.when(~ascii_, text)))
 
 
 def any_of(conditions: list[Column]) -> Column:
@@ -110,8 +109,9 @@ def contains_any(norm: Column, terms: tuple[str, ...]) -> Column:
     return any_of([norm.rlike(_bounded(t)) if re.search("[a-z]", t) else norm.contains(t) for t in terms])
 
 
-#: Up to 48 characters that end in a denial and two words at most; Java looks back so far only.
-_DENIED = r"(?<!(?U:\b(?:not|never|no\s{1,4}longer|far\s{1,4}from)\s{1,4}(?:\w{1,16}\s{1,4}){0,2}))"
+#: A denial and two words at most, in text whose white space is collapsed; spelled out, as Java looks back over plain alternatives only.
+_DENIAL = r"\b(?:not|never|no longer|far from) "
+_DENIED = "(?<!" + "|".join(_DENIAL + r"\w{1,42} " * k for k in range(3)) + ")"
 
 
 def contains_undenied(norm: Column, terms: tuple[str, ...]) -> Column:

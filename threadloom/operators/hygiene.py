@@ -37,7 +37,7 @@ def bursts(messages: DataFrame, minimum: int = 3, window_seconds: int = 60, keys
     partition of the window, sorted and spilled by Spark.
     """
     by = Window.partitionBy(*keys).orderBy(time, id_)
-    rows = messages.select(*keys, time, id_, F.unix_micros(time).alias("__at")).withColumn("__rn", F.row_number().over(by))
+    rows = messages.select(*keys, time, id_, F.unix_micros(F.col(time).cast("timestamp")).alias("__at")).withColumn("__rn", F.row_number().over(by))
     back = Window.partitionBy(*keys).orderBy("__at").rangeBetween(-window_seconds * 1_000_000, 0)
     rows = rows.withColumn("__left", F.min("__rn").over(back))
     last_of_tie = Window.partitionBy(*keys).orderBy("__rn")

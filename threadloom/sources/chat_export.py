@@ -115,7 +115,6 @@ class _Page(HTMLParser):
                 self.row["text"] += data
 
 
-@F.pandas_udf(RECORD)
 def _page_messages(pages: pd.Series) -> pd.Series:
     def read(html: str | None) -> list[dict]:
         page = _Page()
@@ -128,13 +127,13 @@ def _page_messages(pages: pd.Series) -> pd.Series:
 def html_messages(pages: DataFrame, zone: str = "Europe/Rome") -> DataFrame:
     """(page, pos, source_id, sender, timestamp, text, reply_id) of pages (page, html): a joined message has the sender of the last that names one, over pages too; local
     times become UTC; messages without text, sender, id or time are left out."""
-    rows = pages.select("page", F.posexplode(_page_messages("html")).alias("pos", "m")).select("page", "pos", "m.*")
-    before = Window.orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = pages.select("page", F.posexplode(F.pandas_udf(_page_messages, RECORD)("html")).alias("pos", "m")).select("page", "pos", "m.*")
+    before = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     # only the places where a sender is named cross pages; a page's own rows are filled in beside it
     within = Window.partitionBy("page").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("own", F.last("sender", ignorenulls=True).over(within))
     tails = rows.groupBy("page").agg(F.max(F.when(F.col("sender").isNotNull(), F.struct("pos", "sender")))["sender"].alias("tail"), F.lit(0).alias("pos"))
-    heads = tails.withColumn("carried", F.last("tail", ignorenulls=True).over(before.orderBy("page").rowsBetween(Window.unboundedPreceding, -1))).select("page", "carried")
+    heads = tails.withColumn("carried", F.last("tail", ignorenulls=True).over(before)).select("page", "carried")
     out = rows.join(heads, "page", "left").withColumn("sender", F.coalesce("sender", F.when(F.col("joined"), F.coalesce("own", "carried"))))
     at = F.to_utc_timestamp(F.try_to_timestamp(F.substring("local_time", 1, 19), F.lit("dd.MM.yyyy HH:mm:ss")), zone)
     return out.where("text != '' AND sender IS NOT NULL AND source_id != ''").select("page", "pos", "source_id", "sender", at.alias("timestamp"), "text", "reply_id").where("timestamp IS NOT NULL")

@@ -17,7 +17,7 @@ SELECT concat('c', conv_id, '_', turn) AS message_id, concat('g', conv_id % 4) A
        CASE role WHEN 'user' THEN concat('usr_', (conv_id * 3 + turn % 4) % 29) WHEN 'assistant' THEN concat('usr_a', conv_id % 5) ELSE 'usr_b0' END AS user_id_hash,
        CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'moderator' ELSE 'bot' END AS user_role,
        timestamp '2024-01-01 00:00:00' + {second} AS timestamp,
-       concat(text, CASE WHEN (conv_id + turn) % 3 = 0 THEN concat(' ', {phrase}) ELSE '' END, CASE WHEN role = 'user' AND (conv_id + turn) % 2 = 0 THEN '?' ELSE '' END) AS text,
+       concat(CASE WHEN role = 'assistant' AND conv_id % 6 = 0 THEN 'our news of today' ELSE text END, CASE WHEN conv_id % 6 > 0 AND (conv_id + turn) % 3 = 0 THEN concat(' ', {phrase}) ELSE '' END, CASE WHEN role = 'user' AND (conv_id + turn) % 2 = 0 THEN '?' ELSE '' END) AS text,
        CASE WHEN first_turn = turn THEN NULL WHEN (conv_id + turn) % 3 = 1 THEN concat('c', conv_id, '_', first_turn) ELSE concat('c', conv_id, '_', previous) END AS reply_to_message_id,
        CASE conv_id % 5 WHEN 0 THEN 'camp_a' WHEN 1 THEN 'camp_b' END AS campaign_id, conv_id, turn
 FROM (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous, min(turn) OVER (PARTITION BY conv_id) AS first_turn FROM {source})

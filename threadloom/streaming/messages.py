@@ -34,3 +34,12 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
 def upsert(df: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Gives each micro-batch to merge(batch, batch_id), which must be safe to repeat."""
     return df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upsert_complete(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs an aggregate over all that is there now; path has its rows as of the last batch, open windows too."""
+
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    df.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
