@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 #: Names of a row's identity: a hash of its file's path, and its place in that file.
 ROW_FILE, ROW_INDEX = "__row_file", "__row_index"
 
-_CLEAN_SHUFFLE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go when the step ends, and Python workers get few texts at a time, whatever their length.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,12 +34,14 @@ class Workspace:
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str, columns: Sequence[str] | None = None) -> DataFrame:
-        conf, before = self.spark.conf, self.spark.conf.get(_CLEAN_SHUFFLE, "false")
-        conf.set(_CLEAN_SHUFFLE, "true")
+        conf, before = self.spark.conf, {k: self.spark.conf.get(k, None) for k in _WRITING}
+        for k, v in _WRITING.items():
+            conf.set(k, v)
         try:
             (df.select(*columns) if columns else df).write.mode("errorifexists").parquet(f"{self.path}/{name}")
         finally:
-            conf.set(_CLEAN_SHUFFLE, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
-from itertools import combinations
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -86,25 +86,41 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iter
         yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def _pairs_of_frequent(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+@lru_cache(maxsize=512)
+def _two_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
+def _pairs_of_frequent(batches: Iterator[pa.RecordBatch], percent: int, flush: int = 200_000) -> Iterator[pa.RecordBatch]:
     """For each node a signature for every two frequent shingles of one group, under each of its schemes."""
+    parts: list[tuple[np.ndarray, ...]] = []
+
+    def made() -> pa.RecordBatch:
+        a, b, scheme, node = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        mark = mix(mix(a.view(np.uint64) + scheme.view(np.uint64) * np.uint64(0x632BE59BD9B4E019)) ^ b.view(np.uint64))
+        parts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), pa.array(node)], ["mark", "node"])
+
+    waiting = 0
     for batch in batches:
-        nodes, firsts, seconds, schemes = [], [], [], []
-        for node, n, tokens in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "tokens")), strict=True):
+        nodes, sizes, lists = (batch.column(c) for c in ("node", "n", "tokens"))
+        edges, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+        for k, (node, n) in enumerate(zip(nodes.to_pylist(), sizes.to_pylist(), strict=True)):
+            tokens = np.sort(flat[edges[k] : edges[k + 1]])
             for scheme in _schemes(n, percent):
-                g = _groups(scheme, percent)
-                groups: dict[int, list[int]] = {}
-                for t in sorted(tokens):
-                    groups.setdefault(t % g, []).append(t)
-                for members in groups.values():
-                    for a, b in combinations(members, 2):
-                        firsts.append(a)
-                        seconds.append(b)
-                        nodes.append(node)
-                        schemes.append(scheme)
-        a, b, s = (np.array(x, np.int64).view(np.uint64) for x in (firsts, seconds, schemes))
-        mark = mix(mix(a + s * np.uint64(0x632BE59BD9B4E019)) ^ b)
-        yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), pa.array(nodes, pa.int64())], ["mark", "node"])
+                group = tokens.view(np.uint64) % np.uint64(_groups(scheme, percent))
+                order = np.argsort(group, kind="stable")
+                mine, cuts = tokens[order], np.flatnonzero(np.diff(group[order])) + 1
+                for members in np.split(mine, cuts):
+                    if len(members) > 1:
+                        i, j = _two_of(len(members))
+                        parts.append((members[i], members[j], np.full(len(i), scheme), np.full(len(i), node)))
+                        waiting += len(i)
+            if waiting > flush:
+                yield made()
+                waiting = 0
+    if parts:
+        yield made()
 
 
 def _forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled together; one longer text is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 SPACE = bytes([9, 10, 11, 12, 13, 32])
 _BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
@@ -53,7 +53,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def _room(n: int) -> int:
-    return 1 << max(21, int(n).bit_length())
+    return 1 << max(20, int(n).bit_length())
 
 
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
