@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -13,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import mix
+from .words import buffers, mix
 
 #: The vocabulary of the query; where it lies is a parameter of the operator.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -39,6 +40,8 @@ class Pieces:
     weight: np.ndarray
     byte: np.ndarray
     text: list[bytes]
+    flat: np.ndarray
+    begin: np.ndarray
     longest: int
     slots: np.ndarray
     hashes: np.ndarray
@@ -68,7 +71,8 @@ class Pieces:
             while slots[at] >= 0:
                 at = (at + 1) % len(slots)
             slots[at] = i
-        return Pieces(weight, byte, text, max(map(len, ids), default=1), slots, hashes)
+        begin = np.append(0, np.cumsum([len(t) for t in text]))
+        return Pieces(weight, byte, text, np.frombuffer(b"".join(text), np.uint8), begin, max(map(len, ids), default=1), slots, hashes)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Id of the piece of each hash, -1 for none."""
@@ -121,19 +125,16 @@ def _lattices(names: list[str], pieces: Pieces, theta: float) -> tuple[np.ndarra
     h = np.zeros(len(codes), np.uint64)
     at = np.arange(len(codes))
     for n in range(1, min(pieces.longest, deep) + 1):
-        # h: hash of the n characters up to each place of at
-        if n > 1:
-            at = at[pos[at] >= n - 1]
-            h = prior[at - 1]
-        h = h * np.uint64(_BASE) + k[at]
-        got = pieces.find(_finish(h, n))
+        # h: hash of the n characters up to each place (across units at the first places, which at leaves out)
+        h[1:] = h[:-1] * np.uint64(_BASE) + k[1:]
+        h[0] = k[0]
+        at = at[pos[at] >= n - 1]
+        got = pieces.find(_finish(h[at], n))
         hit = got >= 0
         found.append((at[hit], got[hit], np.full(int(hit.sum()), n)))
         if n == 1:
             bare = at[~hit]
             found.append((bare, np.full(len(bare), -1), np.ones(len(bare), np.int64)))
-        prior = np.zeros(len(codes), np.uint64)
-        prior[at] = h
     char, piece, n = (np.concatenate([f[i] for f in reversed(found)]) for i in range(3))
     place = depth[pos[char] + 1] + unit[char]
     sort = np.argsort(place, kind="stable")
@@ -239,6 +240,15 @@ class Sampler:
         return b"".join([text[i] for i in ids])[1:].decode()
 
 
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of pieces in order."""
+        pieces = Pieces.load(self.path)
+        begin = pieces.begin[ids]
+        size = pieces.begin[ids + 1] - begin
+        to = np.cumsum(size)
+        return pieces.flat[np.repeat(begin - to + size, size) + np.arange(to[-1] if len(to) else 0)]
+
+
 #: Bytes of text sampled together in a Python worker.
 SLICE_BYTES = 4 << 20
 
@@ -254,21 +264,36 @@ def encode_pieces(docs: DataFrame, sampler: Sampler | None = None, id_col: str =
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        key = np.asarray(keys.fill_null(-1)).astype(np.int64)
-        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64))
-        parts, first = [], 0
-        while first < len(texts):
-            last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + SLICE_BYTES, "right")))
-            some = texts.slice(first, last - first)
-            ids, n = sampler.encode(some.fill_null("").to_pylist(), key[first:last])
-            at = pa.array(np.append(0, np.cumsum(n)).astype(np.int32), mask=np.append(np.asarray(some.is_null().to_numpy(zero_copy_only=False)), False))
-            parts.append(pa.ListArray.from_arrays(at, pa.array(ids)))
-            first = last
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+        return pa.concat_arrays([ids for _, ids in _slices(texts, keys, sampler)] or [pa.array([], pa.list_(pa.int32()))])
 
     return docs.withColumn(name, encode(F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")))
 
 
+def _slices(texts: pa.Array, keys: pa.Array, sampler: Sampler) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """Some texts at a time with their ids."""
+    key = np.asarray(keys.fill_null(-1)).astype(np.int64)
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + SLICE_BYTES, "right")))
+        some = texts.slice(first, last - first)
+        ids, n = sampler.encode(some.fill_null("").to_pylist(), key[first:last])
+        at = pa.array(np.append(0, np.cumsum(n)).astype(np.int32), mask=np.append(np.asarray(some.is_null().to_numpy(zero_copy_only=False)), False))
+        yield some, pa.ListArray.from_arrays(at, pa.array(ids))
+        first = last
+
+
+def _lossless(texts: pa.Array, lists: pa.ListArray, sampler: Sampler) -> np.ndarray:
+    """Whether each text is what its ids spell, less the space before it; nulls are."""
+    ids = np.asarray(lists.values)
+    n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+    data = sampler.spelled(ids)
+    begin = Pieces.load(sampler.path).begin
+    ends = np.append(0, np.cumsum(begin[ids + 1] - begin[ids]))[np.append(0, np.cumsum(n))]
+    offsets, raw = buffers(texts)
+    return np.array([data[a + 1 : b].tobytes() == raw[c:d].tobytes() for a, b, c, d in zip(ends[:-1], ends[1:], offsets[:-1], offsets[1:], strict=True)], bool)
+
+
 def decode_pieces(docs: DataFrame, sampler: Sampler | None = None, ids_col: str = "piece_ids", name: str = "decoded") -> DataFrame:
     """docs and the text of the ids; null ids give null."""
     sampler = sampler or Sampler()
@@ -281,10 +306,20 @@ def decode_pieces(docs: DataFrame, sampler: Sampler | None = None, ids_col: str
 
 
 def encoded(docs: DataFrame, sampler: Sampler | None = None) -> DataFrame:
-    """(doc_id, n_pieces, piece_ids, lossless) of documents: lossless if decoding gives the text back."""
+    """(doc_id, n_pieces, piece_ids, lossless) of documents: lossless if the ids, decoded at once where they are made, give the text back."""
+    sampler = sampler or Sampler()
+
+    @F.arrow_udf("struct<ids: array<int>, lossless: boolean>")
+    def both(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        lists, same = [pa.array([], pa.list_(pa.int32()))], [np.zeros(0, bool)]
+        for some, ids in _slices(texts, keys, sampler):
+            lists.append(ids)
+            same.append(_lossless(some, ids, sampler))
+        return pa.StructArray.from_arrays([pa.concat_arrays(lists), pa.array(np.concatenate(same))], ["ids", "lossless"])
+
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both = decode_pieces(encode_pieces(texts, sampler), sampler)
-    return both.select("doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), "piece_ids", F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
+    out = texts.select("doc_id", both("text", "doc_id").alias("e"))
+    return out.select("doc_id", F.when(F.col("e.ids").isNull(), 0).otherwise(F.size("e.ids")).cast("long").alias("n_pieces"), F.col("e.ids").alias("piece_ids"), "e.lossless")
 
 
 def op9_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
