@@ -65,7 +65,7 @@ def test_answered_chain(spark):
 
 
 def test_clarifications(spark):
-    a = messages(spark, [("m1", 0, "user", "usr_1", "what now?", None), ("m2", 1, "user", "usr_2", "what do you mean?", "m1"), ("m3", 2, "user", "usr_3", "do this", "m2")])
+    a = messages(spark, [("m1", 0, "user", "usr_1", "what now?", None), ("m2", 1, "user", "usr_2", "what do you mean?", "m1"), ("m3", 2, "user", "usr_3", "press this", "m2")])
     assert got(threads.candidate_answers(a), "question_id", "answer_id") == [("m1", "m3"), ("m2", "m3")]
     b = messages(spark, [("m1", 0, "user", "usr_1", "what now?", None), ("m2", 1, "moderator", "usr_a", "which one?", "m1"), ("m3", 2, "user", "usr_1", "the first", "m2"), ("m4", 3, "moderator", "usr_a", "press it", "m3")])
     assert ("m1", "m4") in got(threads.candidate_answers(b), "question_id", "answer_id")
