@@ -251,26 +251,27 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
 
 
 def _keys(marks: DataFrame, ws: Workspace, percent: int) -> DataFrame:
-    """(key, node, n, part, sketch) for marks (mark, node, n, sketch): a key holds BLOCK nodes at most, about, and every two of a
+    """(key, node) for marks (mark, node, n): a key holds BLOCK nodes at most, about, and every two of a
     mark that may link meet under some key. Large groups fall apart by size first, then into blocks, each two of which meet."""
     marks = ws.write(marks, "marks")
     counts = ws.write(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "mark_counts")
     shared = marks.hint("merge").join(counts, "mark")
-    small = shared.where(F.col("m") <= BLOCK).select(F.col("mark").alias("key"), "node", "n", "sketch")
+    small = shared.where(F.col("m") <= BLOCK).select(F.col("mark").alias("key"), "node")
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + 1e-9)
     banded = shared.where(F.col("m") > BLOCK).withColumn("band", F.explode(F.array(band, band + 1))).withColumn("mark", F.xxhash64("mark", "band")).drop("m", "band")
     banded = ws.write(banded, "banded")
     blocks = banded.groupBy("mark").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cut = banded.hint("merge").join(blocks, "mark").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = cut.select(F.xxhash64("mark", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node", "n", "sketch")
+    large = cut.select(F.xxhash64("mark", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node")
     keyed = ws.write(small.unionByName(large), "keyed")
     ws.drop("marks", "mark_counts", "banded")
     return keyed
 
 
-def _compare(keyed: DataFrame, percent: int, forest: bool) -> DataFrame:
-    ordered = keyed.select("key", "node", "n", "part", "sketch").repartition("key").sortWithinPartitions("key", "n", "node")
+def _compare(keyed: DataFrame, sizes: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs of nodes under some key; sizes has node, n, sketch and part, and other nodes are left out. Sketches join here, for one shuffle only."""
+    ordered = keyed.hint("merge").join(sizes, "node").select("key", "node", "n", "part", "sketch").repartition("key").sortWithinPartitions("key", "n", "node")
     return ordered.mapInArrow(lambda x: _candidates(x, percent, forest), "a long, b long").distinct()
 
 
@@ -288,21 +289,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     signed = ws.write(signed, "signed")
     own = F.min(F.struct(*_ID))
     classes = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), own.alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
-    classes = ws.write(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    numbered = ws.write(classes.withColumn("node", F.monotonically_increasing_id()), "numbered")
+    classes = ws.write(numbered.drop("prefix"), "classes")
+    rows = ws.write(signed.drop("prefix", "sketch"), "rows")
+    ws.drop("signed")
 
     # shingles of prefixes: what stands in one set only links nothing
-    tokens = classes.select("node", F.explode("prefix").alias("mark"))
+    tokens = numbered.select("node", F.explode("prefix").alias("mark"))
     counts = ws.write(tokens.groupBy("mark").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
     shared = ws.write(tokens.hint("merge").join(counts, "mark"), "shared")
-    ws.drop("counts")
+    ws.drop("counts", "numbered")
     rare = shared.where(F.col("df") <= RARE).select("mark", "node")
     frequent = shared.where(F.col("df") > RARE).groupBy("node").agg(F.collect_list("mark").alias("tokens"))
     sizes = classes.select("node", "n", "sketch")
     paired = frequent.join(sizes.select("node", "n"), "node").mapInArrow(lambda x: _pairs_of_frequent(x, percent), "mark long, node long")
-    keyed = _keys(rare.unionByName(paired).hint("merge").join(sizes, "node"), ws, percent)
+    keyed = _keys(rare.unionByName(paired).hint("merge").join(sizes.select("node", "n"), "node"), ws, percent)
     ws.drop("shared")
 
-    first = ws.write(_compare(keyed.withColumn("part", F.col("node")), percent, True), "first")
+    first = ws.write(_compare(keyed, sizes.withColumn("part", F.col("node")), percent, True), "first")
     loose = connected_components(first, ws, "loose")
     wanted = loose.select("node").join(classes.select("node", "row.*"), "node")
     bodies = ws.write(texts.select(*_ID, "text").hint("merge").join(wanted, _ID).select("node", "text"), "bodies")
@@ -319,7 +323,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     links = held.where("linked").select("a", "b")
     tight = connected_components(links.join(open_nodes, links["a"] == open_nodes["node"], "left_semi"), ws, "tight")
     parts = open_nodes.join(tight, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
-    second = _compare(keyed.hint("merge").join(parts, "node"), percent, False).join(held.select("a", "b"), ["a", "b"], "left_anti")
+    second = _compare(keyed, sizes.join(ws.write(parts, "parts"), "node"), percent, False).join(held.select("a", "b"), ["a", "b"], "left_anti")
     more = checked(ws.write(second, "second"), "more").where("linked").select("a", "b")
     whole = connected_components(links.unionByName(more), ws, "whole")
     ws.drop("keyed", "bodies", "first", "second")
@@ -327,7 +331,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     named = classes.select("digest", "node", "least_id").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = ws.write(named.join(least, "component").select("digest", "component", "component_id"), "named")
-    out = signed.select(*_ID, "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("digest")).alias("digest")).hint("merge").join(named, "digest", "left")
+    out = rows.select(*_ID, "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("digest")).alias("digest")).hint("merge").join(named, "digest", "left")
     return out.select(*_ID, "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
 
 
