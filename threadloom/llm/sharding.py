@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_FILE, ROW_INDEX, Workspace, text_rows, union_all
+from .common import ROW_FILE, ROW_INDEX, Workspace, located_docs, stored, text_rows, union_all
 
 #: Bits of one key, and bits by which a pass over the rows refines the directory.
 KEY_BITS, STEP_BITS = 60, 12
@@ -78,9 +78,8 @@ def shard_documents(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", t
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes docs with a folder for each shard, and returns what shard_documents() found."""
-    from .common import located_docs
-
     ws = Workspace(docs.sparkSession, "shards")
+    docs = stored(docs, ws)
     found = ws.write(shard_documents(docs, limit_bytes, id_col, text_col), "found")
     placed = located_docs(docs, ws).join(found.select(ROW_FILE, ROW_INDEX, F.concat(F.lit("b"), "shard").alias("__shard")), [ROW_FILE, ROW_INDEX]).drop(ROW_FILE, ROW_INDEX)
     placed.repartition("__shard").write.partitionBy("__shard").mode("errorifexists").parquet(path)
