@@ -376,8 +376,8 @@ def tfidf_weights(spark, d):
 
 
 def behavior_clusters(spark, d):
-    m = Steps(spark, "texts").cut(src.messages(spark, d).where("turn = 0 OR turn = 1").withColumn("norm", F.substring(normalize(F.col("text")), 1, 200)))
-    got = clusters.discover(m, max(1, clusters.cluster_count(m)), rounds=2)
+    m = Steps(spark, "texts").cut(src.messages(spark, d).withColumn("norm", normalize(F.col("text"))))
+    got = clusters.discover(m, max(1, clusters.cluster_count(m)))
     return clusters.describe(got, m, clusters.tfidf(m))
 
 
