@@ -2,6 +2,7 @@
 
 import pytest
 
+from threadloom.llm import license_scan
 from threadloom.operators import clusters
 from threadloom.plans import queries
 
@@ -37,3 +38,18 @@ def test_behavior_clusters_take_all_messages_texts_and_starts(spark, tables, mon
     assert sum(r.message_count for r in out) == len(turns)
     assert any("zz" in t for r in out for t in r.top_terms)
     assert len(set(starts)) == 10
+
+
+def test_licenses_in_ordinary_prose():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    prose = "The committee met on Tuesday to weigh the plans for a new bridge over the river, and heard from engineers who had surveyed both banks in spring. " * 3
+    for name, notice in license_scan.TEMPLATES.items():
+        for n in (20, 100, 350):
+            for text in (f"{prose[:n]} {notice} {prose[:n]}", f"{prose[:n]}\n{notice.replace(' ', chr(10), 3)} {prose[:n]}"):
+                assert name in {x["license"] for x in scanner.scan(text) if x["confirmed"]}, (name, n)
+    both = scanner.scan(f"{prose} Released under the MIT License. Licensed under CC BY-SA 4.0. {prose}")
+    assert {x["license"] for x in both if x["confirmed"]} == {"MIT", "CC-BY-SA-4.0"}
+    assert [(x["line"], x["first_word"]) for x in scanner.scan("one\ntwo three All rights reserved. four")] == [(1, 2)]
+    assert not [x for x in scanner.scan(f"{prose} the license plate, with permission {prose}") if x["confirmed"]]
+    gpl = scanner.scan(f"{prose} {license_scan.TEMPLATES['GPL-3.0']} {prose} {license_scan.TEMPLATES['LGPL-3.0']}")
+    assert [x["license"] for x in gpl if x["confirmed"]] == ["GPL-3.0", "LGPL-3.0"]

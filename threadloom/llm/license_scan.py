@@ -1,11 +1,11 @@
-"""License texts by conditional compression: a block that a template helps to compress is compared with it word by word."""
+"""License texts by conditional compression: words around a trigger that a template helps to compress are compared with it one by one."""
 
 from __future__ import annotations
 
 import re
-from collections import OrderedDict
+from bisect import bisect_left, bisect_right
+from collections import Counter, OrderedDict
 from dataclasses import dataclass, field
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 import zstandard
@@ -25,13 +25,15 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "ISC": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.",
+    "All-rights-reserved": "All rights reserved.",
     "Proprietary": "All rights reserved. No part of this work may be reproduced without written permission.",
 }
 #: What makes a line a candidate; every stem occurs in some template, and the scan for them reads whole texts.
-TRIGGER = re.compile(r"licen[cs]|copyright|all rights reserved|permission|redistribut|public domain|cc[ -]by|cc0|\bmit\b|\bgpl|apache|mozilla|creative commons", re.IGNORECASE)
+TRIGGER = re.compile(r"licen[cs]|copyright|all\s+rights\s+reserved|permission|redistribut|public\s+domain|cc[\s-]by|cc0|\bmit\b|\bgpl|apache|mozilla|creative\s+commons", re.IGNORECASE)
 
 FOUND = "array<struct<line: int, first_word: int, license: string, gain: double, differences: int, confirmed: boolean>>"
 _WORD = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
+_PLACE = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
 
 
 def words(text: str) -> list[str]:
@@ -40,7 +42,7 @@ def words(text: str) -> list[str]:
 
 @dataclass
 class Scanner:
-    """gain: least share of a block's compressed size that a template must save; slack: differing words a confirmed one may have, as a share of its own."""
+    """gain: least share of the bytes which a template saves on itself that it must save on the words around a trigger; slack: differing words a confirmed one may have, as a share of its own."""
 
     templates: dict[str, str]
     gain: float = 0.3
@@ -53,7 +55,10 @@ class Scanner:
         self.dicts = {k: zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for k, t in self.templates.items()}
         self.packers = {k: zstandard.ZstdCompressor(level=self.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False) for k, d in self.dicts.items()}
         self.bare = zstandard.ZstdCompressor(level=self.level, write_content_size=False, write_checksum=False)
-        self.longest = max((len(w) for w in self.words.values()), default=0)
+        self.counts = {k: Counter(w) for k, w in self.words.items()}
+        self.own = {k: max(1, len(self.bare.compress(d)) - len(self.packers[k].compress(d))) for k, w in self.words.items() for d in [" ".join(w).encode()]}
+        self.reach = {k: len(w) + int(self.slack * len(w)) for k, w in self.words.items()}
+        self.longest = max(self.reach.values(), default=0)
 
     def __getstate__(self):
         return {"templates": self.templates, "gain": self.gain, "slack": self.slack, "level": self.level}
@@ -61,69 +66,82 @@ class Scanner:
     def __setstate__(self, state):
         self.__init__(**state)
 
-    def rank(self, block: str) -> list[tuple[float, str]]:
-        """Templates by the share of the block's compressed size that each saves, the best first."""
-        data = block.lower().encode()
-        alone = max(1, len(self.bare.compress(data)))
-        return sorted(((-(alone - len(p.compress(data))) / alone, k) for k, p in self.packers.items()))
-
-    def differences(self, name: str, block: list[str]) -> tuple[int, int]:
-        """Words to change, add or leave out to turn the template into the block's nearest run, and where that starts."""
+    def differences(self, name: str, block: list[str]) -> tuple[int, int, int]:
+        """Words to change, add or leave out to turn the template into the block's nearest run, and where that starts and stops."""
         want = self.words[name]
-        parts = [m for m in SequenceMatcher(None, want, block, autojunk=False).get_matching_blocks() if m.size]
-        if not parts:
-            return len(want), 0
-        start = max(0, parts[0].b - parts[0].a)
-        stop = min(len(block), parts[-1].b + parts[-1].size + len(want) - parts[-1].a - parts[-1].size)
-        same = sum(m.size for m in parts)
-        return max(len(want) - same, stop - start - same), start
-
-    def block(self, text: str) -> tuple | None:
-        """(first word, license, gain, differences, confirmed) of a candidate block, or None; equal blocks are compressed once."""
-        if text in self._seen:
-            self._seen.move_to_end(text)
-            return self._seen[text]
-        found, have = None, words(text)
-        for cost, name in self.rank(text):
-            if -cost < self.gain:
-                break
-            wrong, start = self.differences(name, have)
-            ok = wrong <= self.slack * len(self.words[name])
-            if found is None or (ok and not found[4]) or (ok == found[4] and wrong < found[3]):
-                found = (start, name, -cost, wrong, ok)
-        self._seen[text] = found
+        # edit distance to every run of the block at once: a run may start anywhere for nothing
+        row = [(0, j) for j in range(len(block) + 1)]
+        for i, w in enumerate(want, 1):
+            last, row = row, [(i, 0)]
+            for j, b in enumerate(block, 1):
+                row.append(min((last[j - 1][0] + (w != b), last[j - 1][1]), (last[j][0] + 1, last[j][1]), (row[j - 1][0] + 1, row[j - 1][1])))
+        wrong, start, stop = min((x, a, j) for j, (x, a) in enumerate(row))
+        return wrong, start, stop
+
+    def around(self, block: tuple[str, ...], first: int, last: int) -> list[tuple]:
+        """(start, stop, license, gain, differences, confirmed) of templates near the words first to last of a block; equal blocks are compressed once.
+
+        No confirmed one is lost to the gain: all whose words are there, but for slack, are compared."""
+        key = (block, first, last)
+        if key in self._seen:
+            self._seen.move_to_end(key)
+            return self._seen[key]
+        out, data, count = [], " ".join(block).encode(), Counter(block)
+        alone = len(self.bare.compress(data))
+        for name, want in self.words.items():
+            gain = min(1.0, (alone - len(self.packers[name].compress(data))) / self.own[name])
+            few = self.slack * len(want)
+            if gain >= self.gain or sum((self.counts[name] - count).values()) <= few:
+                low = max(0, last - self.reach[name])
+                wrong, start, stop = self.differences(name, list(block[low : first + self.reach[name]]))
+                if wrong <= few or gain >= self.gain:
+                    out.append((low + start, low + stop, name, gain, wrong, wrong <= few))
+        self._seen[key] = out
         if len(self._seen) > 10_000:
             self._seen.popitem(last=False)
-        return found
-
-    def blocks(self, line: str) -> list[str]:
-        """A line, or pieces of a long one around each trigger: twice the longest template to either side."""
-        reach = 16 * self.longest
-        if len(line) <= 4 * reach:
-            return [line]
-        out, end = [], -1
-        for m in TRIGGER.finditer(line):
-            if m.start() >= end:
-                a, end = max(0, line.rfind(" ", 0, max(0, m.start() - reach)) + 1), m.end() + reach
-                b = line.find(" ", end)
-                out.append(line[a : b if b >= 0 else len(line)])
         return out
 
     def scan(self, text: str | None) -> list[dict]:
-        out = []
-        if text and TRIGGER.search(text):
-            for number, line in enumerate(text.split("\n")):
-                if TRIGGER.search(line):
-                    for block in self.blocks(line):
-                        if hit := self.block(block):
-                            out.append(dict(zip(("line", "first_word", "license", "gain", "differences", "confirmed"), (number, *hit), strict=True)))
-        return out
+        """Every confirmed template, once for each place; around a trigger outside of these the nearest of the others."""
+        text = text or ""
+        triggers = [(m.start(), m.end()) for m in TRIGGER.finditer(text)]
+        if not triggers:
+            return []
+        # lower() may change a text's length, so places are those of the text as it is
+        spans = [(m.start(), m.end()) for m in _PLACE.finditer(text)]
+        have = [text[a:b].lower() for a, b in spans]
+        begins, ends = [a for a, _ in spans], [b for _, b in spans]
+        sure, rest = {}, []
+        for a, b in triggers:
+            first, last = bisect_right(ends, a), bisect_left(begins, b)  # the words that the trigger touches
+            low = max(0, last - self.longest)
+            near = []
+            for start, stop, name, gain, wrong, ok in self.around(tuple(have[low : first + self.longest]), first - low, last - low):
+                if ok:
+                    sure[low + start, name] = (low + stop, gain, wrong)
+                else:
+                    near.append((wrong, -gain, name, low + start))
+            if near:
+                rest.append((first, *min(near)))
+        # of templates that are confirmed by the same words, the one that explains most of them
+        out, inside = [], []
+        for (at, name), (stop, gain, wrong) in sorted(sure.items(), key=lambda x: (x[1][2] - len(self.words[x[0][1]]), x[1][2], x[0])):
+            if not any(at < b and a < stop for a, b in inside):
+                inside.append((at, stop))
+                out.append((at, name, gain, wrong, True))
+        out += {(at, name): (at, name, -gain, wrong, False) for first, wrong, gain, name, at in rest if not any(a <= first < b for a, b in inside)}.values()
+        lines = [-1, *(m.start() for m in re.finditer("\n", text))]
+        rows = []
+        for at, *hit in sorted(out):
+            line = bisect_left(lines, begins[at] if at < len(begins) else len(text)) - 1
+            rows.append(dict(zip(("line", "first_word", "license", "gain", "differences", "confirmed"), (line, at - bisect_left(begins, lines[line]), *hit), strict=True)))
+        return rows
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str = "text", name: str = "licenses", **limits: float) -> DataFrame:
-    """docs and, for each text, the blocks that a template helps to compress by limits' gain at least: its line, the template, the share saved, the words that differ, and whether these are few enough to confirm it.
+    """docs and, for each text, the places that a template helps to compress by limits' gain at least: the line and word where it starts, the template, the share saved, the words that differ, and whether these are few enough to confirm it.
 
-    Every line of the whole text with a trigger is a candidate; a null or empty text has none. No row moves.
+    Around every trigger of the whole text, words as far as a template is long are compared with it, across line ends; all confirmed templates count. A null or empty text has none. No row moves.
     """
     scanner = Scanner(templates or TEMPLATES, **limits)
 
