@@ -53,3 +53,12 @@ def test_licenses_in_ordinary_prose():
     assert not [x for x in scanner.scan(f"{prose} the license plate, with permission {prose}") if x["confirmed"]]
     gpl = scanner.scan(f"{prose} {license_scan.TEMPLATES['GPL-3.0']} {prose} {license_scan.TEMPLATES['LGPL-3.0']}")
     assert [x["license"] for x in gpl if x["confirmed"]] == ["GPL-3.0", "LGPL-3.0"]
+
+
+def test_quote_check_takes_all_pairs_and_whole_texts(spark, tables):
+    quote = "a quote of rather more than forty characters, to its end"
+    docs = [(1, f"before {quote} after"), (2, quote.replace(" ", " \n")), (3, quote[:-1]), (4, None), (45, "short")]
+    items = [(7, quote), (8, "short"), (9, " "), (10, None)]
+    out = queries.quote_check(spark, tables(documents=(docs, "doc_id long, text string"), benchmark=(items, "item_id long, text string"))).collect()
+    assert len(out) == len(docs) * len(items)
+    assert sorted((r.item_id, r.doc_id) for r in out if r.found) == [(7, 1), (7, 2), (8, 45)]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import search_terms
 from ..functions.vectors import dot
+from ..storage import Steps
 
 #: Okapi parameters, and the constant of reciprocal ranks.
 K1, B, RRF = 1.2, 0.75, 60
@@ -203,14 +204,25 @@ def valid_ranking(ranking: list, candidates: list[str]) -> list[str] | None:
     return ranking
 
 
+def _flat(text: str) -> Column:
+    """White space collapsed."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
 def quotes_found(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
     """quotes (chunk_id, quote) with found: whether the quote, white space collapsed, is in the chunk's text and isn't blank."""
-    flat = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
     rows = quotes.join(chunks.select("chunk_id", "text"), "chunk_id", "left")
-    ok = (flat(F.col("quote")) != "") & flat(F.col("text")).contains(flat(F.col("quote")))
+    ok = (_flat("quote") != "") & _flat("text").contains(_flat("quote"))
     return rows.withColumn("found", F.coalesce(ok, F.lit(False))).drop("text")
 
 
+def quotes_in_all(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every quote (…, quote) with every chunk (…, text), and found as in quotes_found. White space is collapsed once a row; quotes over Spark's size for broadcasts meet the chunks in blocks of partitions."""
+    q, c = (Steps(chunks.sparkSession, "quotes").cut(df.withColumn(n, _flat(n))) for df, n in ((quotes, "quote"), (chunks, "text")))
+    ok = (F.col("quote") != "") & F.col("text").contains(F.col("quote"))
+    return c.crossJoin(q).withColumn("found", F.coalesce(ok, F.lit(False))).drop("text", "quote")
+
+
 def answer_status(requirements: DataFrame, claims: DataFrame) -> DataFrame:
     """(query_id, answer_status) from requirements (query_id, requirement_id, status) and claims (query_id, requirement_id, source_id, temporal_state, found).
 

@@ -314,9 +314,8 @@ def neighbor_context(spark, d):
 
 
 def quote_check(spark, d):
-    b, docs = src.table(spark, d, "benchmark"), src.table(spark, d, "documents")
-    pairs = docs.select("doc_id").join(b, F.col("doc_id") % 40 == F.col("item_id") % 40).select("item_id", F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 40).alias("quote"))
-    return knowledge.quotes_found(pairs, docs.select(F.col("doc_id").alias("chunk_id"), "text")).select("item_id", F.col("chunk_id").alias("doc_id"), "found")
+    quotes = src.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return knowledge.quotes_in_all(quotes, src.table(spark, d, "documents").select("doc_id", "text")).select("item_id", "doc_id", "found")
 
 
 def search_terms_query(spark, d):
