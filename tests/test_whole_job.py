@@ -1,10 +1,16 @@
 """Queries over small tables of their own, whose rows lie where a query must not stop short."""
 
+import math
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
-from threadloom.llm import license_scan
+from threadloom.functions.text import normal_form
+from threadloom.llm import license_scan, quality
 from threadloom.operators import clusters
 from threadloom.plans import queries
+from threadloom.sources import conversations as src
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +68,9 @@ def test_quote_check_takes_all_pairs_and_whole_texts(spark, tables):
     out = queries.quote_check(spark, tables(documents=(docs, "doc_id long, text string"), benchmark=(items, "item_id long, text string"))).collect()
     assert len(out) == len(docs) * len(items)
     assert sorted((r.item_id, r.doc_id) for r in out if r.found) == [(7, 1), (7, 2), (8, 45)]
+
+
+def test_chat_pages_of_every_conversation(spark, tables):
+    turns = [(c, t, "user", "hello") for c in (0, 49, 50, 7000) for t in range(2)]
+    out = queries.chat_pages(spark, tables(conversations=(turns, TURNS))).collect()
+    assert sorted((r.page, r.pos) for r in out) == sorted((c, p) for c in (0, 49, 50, 7000) for p in sorted({r.pos for r in out})) and len(out) == 8
