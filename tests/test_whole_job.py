@@ -74,3 +74,17 @@ def test_chat_pages_of_every_conversation(spark, tables):
     turns = [(c, t, "user", "hello") for c in (0, 49, 50, 7000) for t in range(2)]
     out = queries.chat_pages(spark, tables(conversations=(turns, TURNS))).collect()
     assert sorted((r.page, r.pos) for r in out) == sorted((c, p) for c in (0, 49, 50, 7000) for p in sorted({r.pos for r in out})) and len(out) == 8
+
+
+def test_freshness_takes_all_messages_to_the_clock(spark, tables):
+    # conversation 39 is the latest of g3; 65 is g1's, on 3 January; 200 comes after the clock
+    turns = [(c, 0, "user", "x") for c in (3, 39, 5, 65, 200)]
+    out = {r.community_id: (r.latest_message_at and (r.latest_message_at.day, r.latest_message_at.hour), r.status) for r in queries.freshness(spark, tables(conversations=(turns, TURNS))).collect()}
+    assert out == {"g0": (None, "no_data"), "g1": ((3, 17), "stale"), "g2": (None, "no_data"), "g3": ((2, 15), "stale"), "g9": (None, "no_data")}
+
+
+def test_neighbor_context_of_every_chunk(spark, tables):
+    path = tables(documents=([(1, " ".join(f"w{i}" for i in range(500))), (2, "short")], "doc_id long, text string"))
+    chunks = {(r.doc_id, r.ordinal) for r in queries.window_chunks(spark, path).collect()}
+    out = queries.neighbor_context(spark, path).collect()
+    assert {(r.doc_id, r.hit_ordinal) for r in out} == chunks and len(chunks) > 3

@@ -194,7 +194,7 @@ def actor_rollup(spark, d):
 
 def freshness(spark, d):
     now = dt.datetime(2024, 1, 5, 12)
-    m = src.messages(spark, d).where((F.col("conv_id") % 40 < 30) & (F.col("timestamp") < F.lit(now)) & ((F.col("community_id") != "g1") | (F.col("timestamp") < F.lit(dt.datetime(2024, 1, 3)))))
+    m = src.messages(spark, d).where(F.col("timestamp") < F.lit(now))
     every = spark.createDataFrame([("g0",), ("g1",), ("g2",), ("g3",), ("g9",)], "community_id string")
     return workspace.freshness(m, now, communities=every)
 
@@ -308,7 +308,7 @@ def structured_chunks(spark, d):
 
 def neighbor_context(spark, d):
     c = _chunks(spark, d).withColumn("chunk_id", F.concat_ws(":", "revision_id", "ordinal"))
-    hits = c.where((F.col("revision_id") + F.col("ordinal")) % 9 == 0).select(F.col("revision_id").alias("query_id"), "chunk_id")
+    hits = c.select(F.col("revision_id").alias("query_id"), "chunk_id")
     out = knowledge.neighbor_context(hits, c, 1, 2000)
     return out.select(F.col("query_id").alias("doc_id"), F.element_at(F.split("hit_id", ":"), 2).cast("long").alias("hit_ordinal"), F.col("ordinal").cast("long").alias("ordinal"), F.char_length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("text_sha256"))
 
