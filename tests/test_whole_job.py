@@ -88,3 +88,8 @@ def test_neighbor_context_of_every_chunk(spark, tables):
     chunks = {(r.doc_id, r.ordinal) for r in queries.window_chunks(spark, path).collect()}
     out = queries.neighbor_context(spark, path).collect()
     assert {(r.doc_id, r.hit_ordinal) for r in out} == chunks and len(chunks) > 3
+
+
+def test_longest_run_of_a_text_of_over_a_million_words(spark):
+    text = F.concat(F.repeat(F.lit("a b "), 500_001), F.repeat(F.lit("c "), 9))
+    assert spark.range(1).select(quality.statistics(text)["longest_run"]).first()[0] == 9

@@ -44,7 +44,7 @@ def statistics(text: Column) -> dict[str, Column]:
         "line_words": F.log1p(n / F.size(lines)),
         "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
         "end_stop": F.when(F.substring(F.rtrim(text), -1, 1) == ".", 1.0).otherwise(0.0),
-        "longest_run": F.least(F.coalesce(F.aggregate(F.slice(words, 1, 1_000_000), F.struct(F.lit("").alias("w"), F.lit(0).alias("run"), F.lit(0).alias("top")), lambda a, w: F.struct(w.alias("w"), F.when(a["w"] == w, a["run"] + 1).otherwise(1).alias("run"), F.greatest(a["top"], F.when(a["w"] == w, a["run"] + 1).otherwise(1)).alias("top")), lambda a: a["top"]), F.lit(0)), F.lit(20)).cast("double"),
+        "longest_run": F.least(F.coalesce(F.aggregate(words, F.struct(F.lit("").alias("w"), F.lit(0).alias("run"), F.lit(0).alias("top")), lambda a, w: F.struct(w.alias("w"), F.when(a["w"] == w, a["run"] + 1).otherwise(1).alias("run"), F.greatest(a["top"], F.when(a["w"] == w, a["run"] + 1).otherwise(1)).alias("top")), lambda a: a["top"]), F.lit(0)), F.lit(20)).cast("double"),
     }
 
 
