@@ -93,3 +93,16 @@ def test_neighbor_context_of_every_chunk(spark, tables):
 def test_longest_run_of_a_text_of_over_a_million_words(spark):
     text = F.concat(F.repeat(F.lit("a b "), 500_001), F.repeat(F.lit("c "), 9))
     assert spark.range(1).select(quality.statistics(text)["longest_run"]).first()[0] == 9
+
+
+def test_tfidf_weights_count_over_all_messages(spark, tables):
+    turns = [(c, t, "user", f"text {c} {'ab' * (t + 1)}") for c in (1, 9, 10, 12) for t in range(2)]
+    path = tables(conversations=(turns, TURNS))
+    texts = {r.message_id: normal_form(r.text) for r in src.messages(spark, path).collect()}
+    grams = {k: Counter(t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)) for k, t in texts.items()}
+    df = Counter(g for x in grams.values() for g in x)
+    want = {}
+    for k, x in grams.items():
+        w = [(1 + math.log(tf)) * (math.log((1 + len(texts)) / (1 + df[g])) + 1) for g, tf in x.items()]
+        want[k] = (len(w), pytest.approx(sum(w) / math.sqrt(sum(v * v for v in w)), abs=1e-5))
+    assert {r.message_id: (r.terms, r.weight_sum) for r in queries.tfidf_weights(spark, path).collect()} == want

@@ -370,7 +370,7 @@ def message_violations(spark, d):
 
 
 def tfidf_weights(spark, d):
-    m = src.messages(spark, d).where("conv_id % 10 = 0").withColumn("norm", normalize(F.col("text")))
+    m = src.messages(spark, d).withColumn("norm", normalize(F.col("text")))
     return clusters.tfidf(m).groupBy("message_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 6).alias("weight_sum"))
 
 
