@@ -255,6 +255,21 @@ def test_segmentation_round_trip(spark):
     assert again != rows(segmentation.encode_pieces(frame(spark, texts), segmentation.Sampler(seed=1)), "piece_ids")
 
 
+def test_blocks_do_not_change_samples(spark, monkeypatch):
+    texts = [*corpus(6, 20), "a\n\n  b   \n c ", None, " ", "word \n" * 300, "x" * 700]
+    s, key = segmentation.Sampler(), np.arange(len(texts))
+    want = s.encode([t or "" for t in texts], key)
+    for size in (1, 50, 999):
+        monkeypatch.setattr(segmentation, "BLOCK_CHARS", size)
+        got = s.encode([t or "" for t in texts], key)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    # a document of 20 MB, of words and newlines, and one of nulls only
+    monkeypatch.undo()
+    long = "lorem ipsum  dolor\n" * 1_000_000
+    out = segmentation.decode_pieces(segmentation.encode_pieces(spark.createDataFrame([(1, long), (None, None)], "doc_id long, text string"))).collect()
+    assert {r.doc_id: r.decoded for r in out} == {1: long, None: None}
+
+
 def test_sampling_follows_the_lattice():
     s, w = segmentation.Sampler(), "tokens"
     pieces = segmentation.Pieces.load(s.path)

@@ -21,6 +21,11 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 SPACE = "▁"
 _UNIT = re.compile("\n| *[^ \n]+| +")
+#: Where one of these ends and another begins.
+_CUT = re.compile(r"(?<=[^ \n])(?=[ \n])|\n")
+
+#: Characters of text that are sampled together: what a worker holds beyond a batch and its ids grows with these (and the longest word), not with texts.
+BLOCK_CHARS = 1 << 19
 
 
 _BASE = 0xC2B2AE3D27D4EB4F
@@ -161,14 +166,38 @@ def _lattices(names: list[str], pieces: Pieces, theta: float) -> tuple[np.ndarra
             top = np.maximum.reduce([forward[x] for x in back])
             for x in back:
                 forward[x] /= top
-    run = np.cumsum(share)
-    head = first[place]
-    chance = run - (run[head] - share[head])
-    last = np.append(place[1:] != place[:-1], True)
-    chance[last] = 2.0
+    # sums of each place on its own, so that they don't depend on what else is in the block
+    chance, heads = share, first[:-1]
+    many = np.diff(first)
+    for k in range(1, int(many.max(initial=0))):
+        deeper = heads[many > k] + k
+        chance[deeper] += chance[deeper - 1]
+    chance[first[1:][many > 0] - 1] = 2.0
     return number, Lattices(units, length, depth, first, start, piece, chance)
 
 
+def _blocks(texts: list[str]) -> Iterator[tuple[list[int], list[int], list[list[str]]]]:
+    """(text, number of its first word here, words) of parts of texts, some BLOCK_CHARS of them at a time; long texts are cut between words."""
+    row, first, words, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        text, at, nth = " " + text if text else "", 0, 0
+        while at < len(text):
+            to = min(len(text), at + BLOCK_CHARS - size)
+            if to < len(text):
+                cut = _CUT.search(text, to)
+                to = cut.end() if cut else len(text)
+            found = _UNIT.findall(text, at, to)
+            row.append(i)
+            first.append(nth)
+            words.append(found)
+            size, at, nth = size + to - at, to, nth + len(found)
+            if size >= BLOCK_CHARS:
+                yield row, first, words
+                row, first, words, size = [], [], [], 0
+    if row:
+        yield row, first, words
+
+
 @dataclass
 class Sampler:
     """theta: exponent of the weights (0: all segmentations alike; larger: nearer to the best one); seed: of all rows."""
@@ -181,21 +210,26 @@ class Sampler:
         """(ids of all texts in order, number of ids of each text). A text's sample depends on its key and the seed only.
 
         A space goes before each text, as the vocabulary's own encoder has it. No piece crosses from a character into a space, so each
-        word with the spaces before it is a lattice of its own; all words are sampled together, one backward step of each at a time.
+        word with the spaces before it is a lattice of its own; all words of a block are sampled together, one backward step of each at a time.
         """
+        ids, count = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        with np.errstate(over="ignore"):
+            seeds = mix(keys.astype(np.uint64) + np.uint64(self.seed) * np.uint64(_BASE))
+        for row, first, words in _blocks(texts):
+            n_words = np.fromiter(map(len, words), np.int64, len(words))
+            row_of = np.repeat(np.array(row, np.int64), n_words)
+            nth = np.arange(len(row_of)) + np.repeat(np.array(first, np.int64) - np.cumsum(n_words) + n_words, n_words)
+            out, owner = self._block(words, mix(seeds[row_of] + nth.astype(np.uint64)), row_of)
+            ids.append(out)
+            count += np.bincount(owner, minlength=len(texts))
+        return np.concatenate(ids), count
+
+    def _block(self, words: list[list[str]], seeds: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words, the row of each id); a seed and a row for each word."""
         units: dict[str, int] = {}
-        per_text = [[units.setdefault(u, len(units)) for u in _UNIT.findall(" " + t)] if t else [] for t in texts]
-        n_units = np.array([len(p) for p in per_text], np.int64)
-        word = np.fromiter(chain.from_iterable(per_text), np.int64, int(n_units.sum()))
-        if not len(word):
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        names = list(units)
-        number, lat = _lattices(names, Pieces.load(self.path), self.theta)
+        word = np.fromiter((units.setdefault(u, len(units)) for u in chain.from_iterable(words)), np.int64, len(row))
+        number, lat = _lattices(list(units), Pieces.load(self.path), self.theta)
         word = number[word]
-        row = np.repeat(np.arange(len(texts)), n_units)
-        nth = np.arange(len(word)) - np.repeat(np.cumsum(n_units) - n_units, n_units)
-        with np.errstate(over="ignore"):
-            seeds = mix(mix(keys.astype(np.uint64) + np.uint64(self.seed) * np.uint64(_BASE))[row] + nth.astype(np.uint64))
         live, place = np.arange(len(word)), lat.length[word]
         steps, taken = np.zeros(len(word), np.int32), []
         while len(live):
@@ -225,7 +259,7 @@ class Sampler:
             where = np.repeat(to[bad], size[bad]) + np.concatenate([np.arange(len(b)) for b in spelled])
             spread[where] = np.concatenate(spelled)
             out, at_row = spread, np.repeat(at_row, size)
-        return out.astype(np.int32), np.bincount(at_row, minlength=len(texts))
+        return out.astype(np.int32), at_row
 
     @lru_cache(maxsize=4096)  # noqa: B019
     def spell(self, char: str) -> np.ndarray:
@@ -249,8 +283,8 @@ class Sampler:
         return pieces.flat[np.repeat(begin - to + size, size) + np.arange(to[-1] if len(to) else 0)]
 
 
-#: Bytes of text sampled together in a Python worker.
-SLICE_BYTES = 4 << 20
+#: Bytes of text handed to the sampler together in a Python worker, at least one text.
+SLICE_BYTES = 1 << 20
 
 
 def encode_pieces(docs: DataFrame, sampler: Sampler | None = None, id_col: str = "doc_id", text_col: str = "text", name: str = "piece_ids") -> DataFrame:
@@ -300,7 +334,16 @@ def decode_pieces(docs: DataFrame, sampler: Sampler | None = None, ids_col: str
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else sampler.decode(x) for x in (ids[i].as_py() for i in range(len(ids)))], pa.string())
+        n = np.asarray(pc.fill_null(pc.list_value_length(ids), 0)).astype(np.int64)
+        flat = np.asarray(ids.flatten()).astype(np.int64)
+        begin = Pieces.load(sampler.path).begin
+        ends = np.append(0, np.cumsum(begin[flat + 1] - begin[flat]))[np.append(0, np.cumsum(n))]
+        keep = np.ones(int(ends[-1]), bool)
+        keep[ends[:-1][n > 0]] = False  # the space before each text
+        data = sampler.spelled(flat)[keep]
+        offsets = pa.py_buffer(np.append(0, np.cumsum(np.diff(ends) - (n > 0))).astype(np.int64).tobytes())
+        texts = pa.LargeStringArray.from_buffers(len(ids), offsets, pa.py_buffer(data.tobytes()))
+        return pc.if_else(ids.is_null(), pa.scalar(None, pa.large_string()), texts).cast(pa.string())
 
     return docs.withColumn(name, decode(F.col(f"`{ids_col}`")))
 
