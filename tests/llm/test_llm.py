@@ -263,9 +263,9 @@ def test_blocks_do_not_change_samples(spark, monkeypatch):
         monkeypatch.setattr(segmentation, "BLOCK_CHARS", size)
         got = s.encode([t or "" for t in texts], key)
         assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
-    # a document of 20 MB, of words and newlines, and one of nulls only
+    # a document of 5 MB, of words and newlines, and one of nulls only
     monkeypatch.undo()
-    long = "lorem ipsum  dolor\n" * 1_000_000
+    long = "lorem ipsum  dolor\n" * 250_000
     out = segmentation.decode_pieces(segmentation.encode_pieces(spark.createDataFrame([(1, long), (None, None)], "doc_id long, text string"))).collect()
     assert {r.doc_id: r.decoded for r in out} == {1: long, None: None}
 
@@ -331,6 +331,67 @@ def test_features():
     assert x[0, f("hits")] > 0 and x[0, f("near_you")] > 0 and x[1, f("hits")] == 0 and x[1, f("disguised")] > 0 and not x[2].any() and x[3, f("hits")] == 0
 
 
+def brute_features(t, lex, you, learnt, near=5):
+    """Features of one text in plain Python; learnt maps terms (whole words with a closing mark, or beginnings) to weights."""
+    t = (t or "").encode()
+    spans = [(m.start(), m.group().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))) for m in re.finditer(rb"[A-Za-z\x80-\xff]+", t)]
+    w = [x for _, x in spans]
+    weight = [max([0.0, learnt.get(x + b"$", 0), *(learnt.get(x[:k], 0) for k in toxicity.PREFIXES if len(x) >= k)]) for x in w]
+    marked, hit, at_you = [i for i, x in enumerate(weight) if x], [i for i, x in enumerate(w) if x in lex], [i for i, x in enumerate(w) if x in you]
+    leet = lambda x: x.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ013457@$", b"abcdefghijklmnopqrstuvwxyzoieastas"))
+    starred = {x[:i] + b"*" + x[i + 1 :] for x in lex if len(x) > 3 and x.isascii() for i in range(1, len(x) - 1)}
+    masked = sum(leet(x) in {*map(leet, lex), *map(leet, starred)} for x in re.findall(rb"[A-Za-z\x80-\xff013457@$*]+", t))
+    disguised = max(masked - len(hit), 0)
+    n, size, alpha = max(len(w), 1), max(len(t), 1), max(len(re.findall(rb"[A-Za-z]", t)), 1)
+    sign = rb"[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]"
+    inner = len(re.findall(rb"(?<=[A-Za-z\x80-\xff])(?!['-])" + sign + rb"(?=[A-Za-z\x80-\xff])", t))
+    log = np.log1p
+    return [
+        log(len(marked)), len(marked) / n, log(len({w[i] for i in marked})), max(weight, default=0), sum(weight) / max(len(marked), 1),
+        log(len(hit)), len(hit) / n, log(len({w[i] for i in hit})), log(disguised), disguised / n, log(sum(any(abs(i - j) <= near for j in at_you) for i in {*hit, *marked})), len(at_you) / n,
+        len(re.findall(rb"[A-Z]", t)) / alpha, len(re.findall(rb"(?<=[A-Z])[A-Z]", t)) / alpha, t.count(b"!") / size, t.count(b"?") / size, len(re.findall(sign, t)) / size, inner / n, len(re.findall(rb"[0-9]", t)) / size,
+        log(len(w)), len(re.findall(rb"[A-Za-z\x80-\xff]", t)) / n,
+    ]
+
+
+def test_features_against_plain_python():
+    rng = np.random.default_rng(3)
+    bits = ["you", "IDIOT", "st*pid", "m0ron", "Crétin", "loweiä", "loweiung", "vequ", "fine-word", "it's", "a&b", "x!!", "why?", "12", "\n", "ça", "YOUR", "tr@sh", "***", "É"]
+    texts = [" ".join(rng.choice(bits, int(rng.integers(0, 30)))) for _ in range(60)] + [None, "", " ", "!", "you" * 2000 + " idiot"]
+    learnt = {b"lowei": 2.0, b"vequ$": 1.5, "crétin".encode()[:6]: 0.7}
+    hashes = {}
+    for term, weight in learnt.items():
+        word = term.rstrip(b"$")
+        found = dict(zip(("$", *toxicity.PREFIXES), toxicity.terms(words.words_of(np.frombuffer(word, np.uint8), np.array([0, len(word)]), toxicity._LETTERS, 0, 1)), strict=True))
+        hashes[int(found["$" if term.endswith(b"$") else len(term)][1][0])] = weight
+    order = sorted(hashes)
+    x = toxicity.features(pa.array(texts), toxicity.Lexicon.of(), toxicity.Learnt(np.array(order, np.uint64), np.array([hashes[k] for k in order])))
+    lex, you = {w.encode() for w in toxicity.LEXICON}, {w.encode() for w in toxicity.SECOND_PERSON}
+    want = np.array([brute_features(t, lex, you, learnt) for t in texts])
+    for j, name in enumerate(toxicity.FEATURES):
+        assert np.allclose(x[:, j], want[:, j]), name
+
+
+def test_learnt_terms(spark):
+    rng, rows = np.random.default_rng(4), []
+    for i in range(600):
+        w = list(rng.choice(VOCAB, 40))
+        if i % 5 == 0:
+            w[3:3] = ["zork" + "abcdef"[i // 5 % 6] * 3]
+        rows.append((" ".join(w), int(i % 5 == 0), i % 4 + 1))
+    learnt, by_part = toxicity.learn_terms(spark.createDataFrame(rows, "text string, label int, part int"))
+    x = toxicity.features(pa.array(["a zorkxyz", "au bv", None]), toxicity.Lexicon.of(), learnt)
+    assert x[:, toxicity.FEATURES.index("learnt")].tolist() == [np.log1p(1), 0, 0] and set(by_part) == {1, 2, 3, 4}
+    # a term that one part alone has isn't among those its own rows are judged by
+    odd = [(f"{t} mostodd" if p == 2 and y else t, y, p) for t, y, p in rows]
+    learnt, by_part = toxicity.learn_terms(spark.createDataFrame(odd, "text string, label int, part int"))
+    odd_at = toxicity.FEATURES.index("learnt")
+    seen = lambda m: toxicity.features(pa.array(["mostodd"]), toxicity.Lexicon.of(), m)[0, odd_at] > 0
+    assert seen(learnt) and not seen(by_part[2]) and seen(by_part[1])
+    none, _ = toxicity.learn_terms(spark.createDataFrame([r for r in rows if r[1]], "text string, label int, part int"))
+    assert not len(none.hashes)
+
+
 def test_quality_rules_compile(spark):
     docs, y_df, y = labelled(spark, "quality")
     model = quality.fit_quality(docs, y_df)
@@ -368,6 +429,14 @@ def test_words_match_plain_splitting():
     for w in words.chunked_words(pa.array(texts), words.PLAIN, 4):
         out += np.diff(w.bounds).tolist()
     assert out == [len((t or "").encode().split()) for t in texts]
+    # words made of Thue-Morse sequences, which polynomials modulo a power of two can't tell apart
+    odd = "a"
+    while len(odd) < 2048:
+        odd += odd.translate(str.maketrans("ab", "ba"))
+    for size in (1000, 2048):
+        two = f"{odd[:size]} {odd[:size].translate(str.maketrans('ab', 'ba'))} {odd[:size]}".encode()
+        h = words.words_of(np.frombuffer(two, np.uint8), np.array([0, len(two)]), words.PLAIN, 0, 1).hashes
+        assert h[0] == h[2] != h[1]
     a = words.words_of(np.frombuffer(b"ab cd ab", np.uint8), np.array([0, 8]), words.PLAIN, 0, 1).hashes
     assert a[0] == a[2] != a[1]
 

@@ -23,7 +23,11 @@ STATISTICS = ("words", "word_length", "distinct", "stopwords", "signs", "capital
 
 
 def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text as column expressions; a null counts as empty, and every value is defined."""
+    """Statistics of a text as column expressions; a null counts as empty, and every value is defined.
+
+    All are taken over the whole text. Two saturate by definition: stopwords is the share of stop words among the distinct words, a
+    hundred of which count at most, as a language has only so many; longest_run counts up to 20.
+    """
     text = F.coalesce(text.cast("string"), F.lit(""))
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     lines = F.split(text, "\n")

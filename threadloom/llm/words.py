@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -57,7 +58,7 @@ def _room(n: int) -> int:
 
 
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hash of values[start:end] for each span; equal runs have equal hashes wherever they stand."""
+    """Hash of values[start:end] for each span, for values that are hashes themselves; equal runs have equal hashes wherever they stand."""
     n = len(values)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * _powers(base, _room(n))[:n], out=total[1:])
@@ -65,14 +66,45 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
     return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+#: Masks of the first 0 to 8 bytes of eight; words of more bytes than LONG are hashed one by one.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG = 1024
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, with zeros after the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def bytes_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span: eight at a time are mixed into what the ones before gave, so no pattern of bytes makes two spans collide."""
+    size = ends - starts
+    eight = lanes(data)
+    out = mix(size.astype(np.uint64) * np.uint64(_BASE))
+    live, k = np.arange(len(size)), 0
+    while len(live):
+        left = size[live] - k
+        live, left = live[(left > 0) & (size[live] <= LONG)], left[(left > 0) & (size[live] <= LONG)]
+        out[live] = mix(out[live] ^ (eight[starts[live] + k] & _FIRST[np.minimum(left, 8)])) + np.uint64(_STEP)
+        k += 8
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 @dataclass
 class Words:
-    """Words of texts first to last of an array: their hashes, and the first word of each text (with an end)."""
+    """Words of texts first to last of an array: their hashes, the first word of each text (with an end), and their bytes as
+    they count, data[at:to]."""
 
     first: int
     last: int
     hashes: np.ndarray
     bounds: np.ndarray
+    data: np.ndarray
+    at: np.ndarray
+    to: np.ndarray
 
     def grams(self, k: int) -> np.ndarray:
         """Hash of words i to i+k-1 for each i that has k words after it; runs over a text's end mean nothing."""
@@ -114,8 +146,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray, kind: tuple[np.ndarray, np.n
     stops = inside.copy()
     stops[:-1] &= ~inside[1:] | edge[1:n]
     at, to = np.flatnonzero(starts), np.flatnonzero(stops) + 1
-    hashes = spans_hash(value[data], at, to, _BASE) if len(at) else np.zeros(0, np.uint64)
-    return Words(first, last, hashes, np.searchsorted(at, offsets))
+    counted = value[data]
+    return Words(first, last, bytes_hash(counted, at, to), np.searchsorted(at, offsets), counted, at, to)
 
 
 def text_of(words: Words) -> np.ndarray:
