@@ -156,6 +156,50 @@ def test_near(spark, monkeypatch, k, percent, rare, block):
     assert rows(near_dedup.near_duplicates(frame(spark, texts), k, percent), "n_shingles", "component_id") == brute_near(texts, k, percent)
 
 
+@pytest.mark.parametrize(("m", "block"), [(150, 1024), (300, 64)])
+def test_pairs_grow_with_nodes(spark, monkeypatch, m, block):
+    """A group of m near copies: what is compared comes to few pairs for each node, whatever the group's size."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "RARE", 16)
+    rng, made, write = np.random.default_rng(8), {}, near_dedup.Workspace.write
+    base = list(rng.choice(VOCAB, 150))
+    texts = []
+    for i in range(m):
+        w = list(base)
+        for j in rng.choice(150, 1 + i % 3, replace=False):
+            w[j] = f"e{i}x{j}"
+        texts.append(" ".join(w))
+
+    def counted(self, df, name, columns=None):
+        out = write(self, df, name, columns)
+        made[name] = out.count() if re.fullmatch(r"near|wide|cross|more_\d+", name) else 0
+        return out
+
+    monkeypatch.setattr(near_dedup.Workspace, "write", counted)
+    got = rows(near_dedup.near_duplicates(frame(spark, texts), 3, 90), "n_shingles", "component_id")
+    assert got == brute_near(texts, 3, 90)
+    assert sum(made.values()) <= 4 * m, made
+
+
+def test_exact_comparison_of_words():
+    """Texts are compared word by word: hashes that collide link nothing."""
+    x, y = "a b c d e f g h i j".split(), "a b c d e f g h i k".split()
+    b = lambda w: [t.encode() for t in w]
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        x, y = list(rng.choice(list("abcd"), int(rng.integers(0, 30)))), list(rng.choice(list("abcd"), int(rng.integers(0, 30))))
+        for k in (1, 3, 5):
+            s, t = near_dedup._shingles(b(x), k), near_dedup._shingles(b(y), k)
+            if x and y:
+                assert near_dedup._overlap_of_long(b(x), b(y), k) == (len(s & t), len(s), len(t))
+    odd = "a"
+    while len(odd) < 2048:
+        odd += odd.translate(str.maketrans("ab", "ba"))
+    texts = pa.array([f"x y {odd} z u", f"x y {odd.translate(str.maketrans('ab', 'ba'))} z u"])
+    s, t = near_dedup.shingle_sets(texts, 3)
+    assert not set(s.tolist()) & set(t.tolist())
+
+
 def test_near_drop(spark):
     texts = near_corpus()
     kept = near_dedup.drop_near_duplicates(frame(spark, texts))
