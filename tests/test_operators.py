@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from threadloom import schema
 from threadloom.functions import text
 from threadloom.functions.vectors import cosine
-from threadloom.operators import activation, behavior, campaign, evaluation, hygiene, knowledge, metrics, threads, validation, workspace
+from threadloom.operators import activation, behavior, campaign, evaluation, hygiene, knowledge, metrics, retrieval, threads, validation, workspace
 
 T0 = dt.datetime(2026, 9, 1)
 
@@ -222,3 +222,101 @@ def test_answer_status(spark):
     need = spark.createDataFrame([(1, "r", "supported"), (2, "r", "supported"), (3, "r", "conflict"), (4, "r", "supported"), (5, "r", "supported")], "query_id int, requirement_id string, status string")
     claims = spark.createDataFrame([(1, "r", "a", "active", True), (2, "r", "a", "inactive", True), (3, "r", "a", "active", True), (3, "r", "b", "active", True), (4, "r", "a", "active", False)], "query_id int, requirement_id string, source_id string, temporal_state string, found boolean")
     assert dict(got(knowledge.answer_status(need, claims), "query_id", "answer_status")) == {1: "grounded", 2: "outdated_only", 3: "conflict", 4: "insufficient_evidence", 5: "insufficient_evidence"}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 7])
+def test_cycles_of_every_length(spark, size):
+    """Messages on a circle of replies, and those below it, reach no root; other threads do, however deep."""
+    rows = [(f"c{i}", f"c{(i + 1) % size}") for i in range(size)] + [("t0", "c0"), ("t1", "t0"), ("r", None)] + [(f"d{i}", f"d{i - 1}" if i else "r") for i in range(12)]
+    m = spark.createDataFrame([(a, "g", "en", "usr_1", "user", T0, "text", b, None) for a, b in rows], schema.MESSAGES)
+    got = {r.message_id: r.depth for r in threads.roots(m).collect()}
+    assert got == {"r": 1, **{f"d{i}": i + 2 for i in range(12)}}
+    bad = {r.key for r in validation.message_rules(m).where("rule = 'cycle'").collect()}
+    assert bad == {*(f"c{i}" for i in range(size)), "t0", "t1"}
+
+
+def _series(spark, n, **more):
+    frame = spark.createDataFrame([(f"o{i:02}", float(i), float(i * i % 7)) for i in range(n)], "observation_id string, up double, other double")
+    outcomes = spark.createDataFrame([(f"o{i:02}", float(i * 2), float(-i)) for i in range(n)], "observation_id string, a double, b double")
+    return metrics.validate_metrics(frame, outcomes, ["observation_id"], ["up", "other"], ["a", "b"], **more)
+
+
+def test_metrics_against_outcomes(spark):
+    # exact up to 8 pairs, none up to 19, asymptotic beyond; the family counts every test
+    for n, p, status in ((5, 2 / 120, "Candidate"), (9, None, "Candidate"), (20, 1e-300, "Promising")):
+        statuses, tests = _series(spark, n)
+        got = {(r.metric_name, r.outcome_name): r for r in tests.collect()}
+        assert len(got) == 4
+        up = got["up", "a"]
+        assert abs(abs(up.rho) - 1) < 1e-9 and (up.raw_p is None if p is None else abs(up.raw_p - p) < 1e-9)
+        if n == 5:
+            assert abs(up.adjusted_p - 4 * 2 / 120) < 1e-9
+        assert {r.metric_name: r.status for r in statuses.collect()}["up"] == status
+    frame = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "observation_id string, up double")
+    other = spark.createDataFrame([("a", 1.0), ("c", 2.0)], "observation_id string, y double")
+    with pytest.raises(ValueError, match="1 of metrics only, 1 of outcomes only"):
+        metrics.validate_metrics(frame, other, ["observation_id"], ["up"], ["y"])
+    with pytest.raises(ValueError, match="unique"):
+        metrics.validate_metrics(frame.union(frame), other, ["observation_id"], ["up"], ["y"])
+    alone, none = metrics.validate_metrics(frame, None, ["observation_id"], ["up"], [])
+    assert not none.count() and alone.first().reasons == ["insufficient_sample", "no_outcome_frame"]
+
+
+def test_ranks_of_many_ranges(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 400), rng.integers(0, 40, 400), strict=True)]
+    got = metrics.average_ranks(spark.createDataFrame(rows, "g int, v double"), "v", ["g"], "r").toPandas()
+    want = got.groupby("g")["v"].rank()
+    assert np.allclose(got["r"], want) and len(got) == 400
+
+
+def test_revisions_end_their_predecessors(spark):
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    none = spark.createDataFrame([], "source_id string, version long, content_hash string, status string, effective_from timestamp, superseded_at timestamp")
+    come = lambda *rows: spark.createDataFrame(list(rows), "source_id string, content string, status string, effective_from timestamp, arrived long")
+    first = knowledge.add_revisions(none, come(("s", "A", "current", at(1), 1), ("s", "A", "current", at(2), 2)))
+    assert [(r.version, r.status, r.superseded_at) for r in first.collect()] == [(1, "current", None)]
+    second = knowledge.add_revisions(first, come(("s", "A", "current", at(3), 3), ("s", "B", "current", at(4), 4), ("s", "A", "current", at(5), 5)))
+    assert sorted((r.version, r.status, r.superseded_at) for r in second.collect()) == [(1, "superseded", at(4)), (2, "current", None)]
+
+
+def test_retrieval_and_reranking(spark):
+    now = dt.datetime(2024, 3, 1)
+    sources = spark.createDataFrame([(f"s{i}", f"title {i}", "verified_official" if i != 2 else "community", "{}") for i in range(4)], "source_id string, title string, official_status string, metadata_provenance string")
+    revisions = spark.createDataFrame(
+        [(f"r{i}", f"s{i}", "draft" if i == 3 else "current", None, dt.datetime(2024, 1 if i != 1 else 6, 1), None, None) for i in range(4)],
+        "revision_id string, source_id string, status string, published_at timestamp, effective_from timestamp, effective_until timestamp, superseded_at timestamp",
+    )
+    chunks = spark.createDataFrame([(f"r{i}:{k}", f"r{i}", None, None, k, f"staking rewards part {k} of {i} " + ("reward " * k)) for i in range(4) for k in range(3)], "chunk_id string, revision_id string, section string, parent_heading string, ordinal int, text string")
+    asked = spark.createDataFrame([("q", "how do staking rewards work?", None), ("later", "staking", dt.datetime(2024, 7, 1)), ("none", "unheard of", None), ("blank", "  ", None)], "query_id string, query string, as_of_time timestamp")
+    got = retrieval.retrieve(asked, sources, revisions, chunks, now, top_k=3)
+    rows = {(r.query_id, r.chunk_id): r for r in got.collect()}
+    # drafts, other people's and future revisions are not cited; a hit has its neighbours with it
+    assert {c for q, c in rows if q == "q"} == {"r0:0", "r0:1", "r0:2"} and {c[:2] for q, c in rows if q == "later"} <= {"r0", "r1"}
+    assert rows["q", "r0:1"].context.count("\n") == 2 and rows["q", "r0:1"].term_coverage > 0.5
+    told = {r.query_id: r.answer_status for r in retrieval.statuses(asked, got).collect()}
+    assert told == {"q": "insufficient_evidence", "later": "insufficient_evidence", "none": "no_authoritative_source", "blank": "no_authoritative_source"}
+    turned = lambda pool: pool.select("query_id", "chunk_id", (-F.col("place")).alias("place"))
+    again = retrieval.retrieve(asked, sources, revisions, chunks, now, top_k=3, rank=turned)
+    first = {r.chunk_id: r.place for r in again.where("query_id = 'q'").collect()}
+    assert [first[c] for c in sorted(first, key=lambda c: rows["q", c].place)] == [3, 2, 1] and all(r.reranked for r in again.collect())
+    short = retrieval.retrieve(asked, sources, revisions, chunks, now, top_k=3, rank=lambda pool: turned(pool).where("chunk_id <> 'r0:0'"))
+    assert {r.chunk_id: r.place for r in short.where("query_id = 'q'").collect()} == {c: rows["q", c].place for q, c in rows if q == "q"}
+    with pytest.raises(ValueError):
+        retrieval.retrieve(asked, sources, revisions, chunks, now, top_k=21)
+
+
+def test_reindex_refuses_what_changed(spark):
+    text = "# Head\n\nbody of the text"
+    revisions = spark.createDataFrame([("a", "faq", text, "v1"), ("b", "faq", text, "v1"), ("c", "faq", text, "v2")], "revision_id string, source_type string, content string, index_version string").withColumn("content_hash", F.sha2(F.when(F.col("revision_id") == "b", "other").otherwise(F.col("content")), 256))
+    stored = knowledge.chunk(revisions)
+    good, refused = knowledge.reindexable(revisions, stored, "v2")
+    assert [r.revision_id for r in good.collect()] == ["a"] and [(r.revision_id, r.problem) for r in refused.collect()] == [("b", "content_hash_mismatch")]
+    good, refused = knowledge.reindexable(revisions, stored.withColumn("text", F.lit("moved")), "v2")
+    assert not good.count() and {r.problem for r in refused.collect()} == {"content_hash_mismatch", "chunks_changed"}
+
+
+def test_containing(spark):
+    texts = spark.createDataFrame([(1, "a long tale of many words"), (2, "xa long tale ofx"), (3, None), (4, "tale")], "target long, body string")
+    items = spark.createDataFrame([(10, "a long tale of"), (11, "tale"), (12, None), (13, "long tale of many")], "query_id long, text string")
+    assert {(r.query_id, r.target) for r in evaluation.containing(texts, items).collect()} == {(10, 1), (10, 2), (11, 1), (11, 2), (11, 4), (13, 1)}

@@ -106,7 +106,7 @@ def _bounded(term: str) -> str:
 def contains_any(norm: Column, terms: tuple[str, ...]) -> Column:
     """A term with Latin letters stands as whole words, others anywhere."""
     terms = tuple(map(normal_form, terms))
-    return any_of([norm.rlike(_bounded(t)) if re.search("[a-z]", t) else norm.contains(t) for t in terms])
+    return any_of([norm.contains(t) & norm.rlike(_bounded(t)) if re.search("[a-z]", t) else norm.contains(t) for t in terms])
 
 
 #: A denial and two words at most, in text whose white space is collapsed; spelled out, as Java looks back over plain alternatives only.
@@ -115,13 +115,17 @@ _DENIED = "(?<!" + "|".join(_DENIAL + r"\w{1,42} " * k for k in range(3)) + ")"
 
 
 def contains_undenied(norm: Column, terms: tuple[str, ...]) -> Column:
-    """A term as whole words that no denial (not, never, no longer, far from) goes before, two words apart at most."""
-    return any_of([norm.rlike(rf"(?U){_DENIED}(?<!\w){re.escape(normal_form(t))}(?!\w)") for t in terms])
+    """A term as whole words that no denial (not, never, no longer, far from) goes before, two words apart at most.
+
+    The look back costs far more than a plain search, so only texts that hold the term at all come to it.
+    """
+    terms = tuple(map(normal_form, terms))
+    return any_of([norm.contains(t) & norm.rlike(rf"(?U){_DENIED}(?<!\w){re.escape(t)}(?!\w)") for t in terms])
 
 
 def mentions_project(norm: Column, language: Column) -> Column:
     main = F.substring_index(language, "-", 1)
-    one = lambda k, t: norm.contains(t) if k == "zh" else norm.rlike(_bounded(t))
+    one = lambda k, t: norm.contains(t) if k == "zh" else norm.contains(t) & norm.rlike(_bounded(t))
     return any_of([(main == k) & any_of([one(k, normal_form(t)) for t in v]) for k, v in PROJECT_TERMS.items()])
 
 

@@ -28,6 +28,22 @@ def retrieval_metrics(gold: DataFrame, ranked: DataFrame) -> DataFrame:
     return every.select("query_id", *at(1), *at(3), *at(5), (F.col("hr") / F.col("n")).alias("r_precision"), F.when(some, F.coalesce(1 / F.col("best"), F.lit(0.0))).alias("mrr_at_5"), F.when(some, F.col("dcg") / ideal).alias("ndcg_at_5"))
 
 
+def containing(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, target): texts (target, body) that hold the whole text of an item (query_id, text).
+
+    A text that holds an item has all its inner words as words of its own, so item and text meet by the item's longest inner word. Items
+    of fewer than three words meet every text.
+    """
+    words = F.split("text", r"\s+")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    keyed = items.select("query_id", "text", F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))).alias("k"))
+    long = keyed.where("k IS NOT NULL").select("query_id", "text", F.col("k.w").alias("word"))
+    each = texts.select("target", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("word")).join(long.select("word").distinct(), "word", "left_semi")
+    met = each.join(long, "word").select("target", "query_id", "text").join(texts, "target").where(F.col("body").contains(F.col("text"))).select("query_id", "target")
+    short = texts.join(keyed.where("k IS NULL AND text IS NOT NULL"), F.col("body").contains(F.col("text"))).select("query_id", "target")
+    return met.unionByName(short)
+
+
 def macro(metrics: DataFrame, by: str | None = None) -> DataFrame:
     """Means of all metrics, over all queries or by a column; queries without targets don't count."""
     cols = [c for c, t in metrics.dtypes if t in ("double", "int", "bigint") and c not in ("query_id", by)]

@@ -82,6 +82,19 @@ def postings(chunks: DataFrame, terms: Column | None = None) -> DataFrame:
     return rows.select("chunk_id", "length", F.explode("t").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
+def postings_of(chunks: DataFrame, terms: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """(index, totals) for bm25() of chunks (chunk_id, words): postings of the terms (term) alone, and one row (chunks, tokens) over all chunks.
+
+    Texts are split once: what is written has a row for each posting, and one for each chunk that says how long it is.
+    """
+    wanted = terms.select("term").distinct().withColumn("wanted", F.lit(True))
+    each = chunks.select("chunk_id", F.size("words").alias("length"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("term"))
+    kept = each.join(wanted, "term", "left").where("term IS NULL OR wanted")
+    kept = steps.cut(kept.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length")))
+    totals = kept.where("term IS NULL").agg(F.count(F.lit(1)).alias("chunks"), F.sum("length").alias("tokens"))
+    return kept.where("term IS NOT NULL"), totals
+
+
 def bm25(index: DataFrame, totals: DataFrame, queries: DataFrame, k: int = DEEP) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best chunks of each query by Okapi's weights, ties by id.
 
@@ -184,6 +197,37 @@ def versions(revisions: DataFrame) -> DataFrame:
     return firsts.withColumn("version", F.row_number().over(order)).withColumn("superseded_at", F.lead("effective_from").over(order)).withColumn("status", F.when(F.col("superseded_at").isNull(), "active").otherwise("superseded"))
 
 
+def add_revisions(revisions: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """revisions and what arrivals add: (source_id, version, content_hash, status, effective_from, superseded_at).
+
+    arrivals: source_id, content, status, effective_from and arrived, the order in which they come. A content that its source has had already, or that
+    comes again, adds nothing. Each new revision has the next version, and ends its predecessor: that one becomes superseded when the new one takes effect.
+    """
+    new = arrivals.select("source_id", F.sha2("content", 256).alias("content_hash"), "status", "effective_from", "arrived")
+    new = new.groupBy("source_id", "content_hash").agg(F.min_by(F.struct("status", "effective_from"), "arrived").alias("r"), F.min("arrived").alias("arrived"))
+    new = new.join(revisions.select("source_id", "content_hash").distinct(), ["source_id", "content_hash"], "left_anti")
+    known = revisions.groupBy("source_id").agg(F.max("version").alias("last"))
+    by = Window.partitionBy("source_id").orderBy("arrived", "content_hash")
+    new = new.join(known, "source_id", "left").select("source_id", (F.coalesce("last", F.lit(0)) + F.row_number().over(by)).cast("long").alias("version"), "content_hash", "r.status", "r.effective_from", F.lit(None).cast("timestamp").alias("superseded_at"))
+    every = revisions.select("source_id", F.col("version").cast("long").alias("version"), "content_hash", "status", "effective_from", "superseded_at").unionByName(new)
+    following = F.lead("effective_from").over(Window.partitionBy("source_id").orderBy("version"))
+    ended = F.lead("version").over(Window.partitionBy("source_id").orderBy("version")).isNotNull()
+    return every.withColumn("superseded_at", F.when(ended, following).otherwise(F.col("superseded_at"))).withColumn("status", F.when(ended, "superseded").otherwise(F.col("status")))
+
+
+def reindexable(revisions: DataFrame, chunks: DataFrame, index_version: str, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
+    """(revisions to index anew, refusals (revision_id, problem)): of revisions whose index_version differs, those whose content still has its hash and gives the same
+    chunks as are stored (ordinal, text, section)."""
+    old = revisions.where(F.col("index_version") != index_version)
+    changed = old.where(F.sha2("content", 256) != F.col("content_hash")).select("revision_id", F.lit("content_hash_mismatch").alias("problem"))
+    pieces = F.array_sort(F.collect_list(F.struct("ordinal", "text", "section")))
+    again = chunk(old, max_tokens, overlap).groupBy("revision_id").agg(pieces.alias("now"))
+    stored = chunks.groupBy("revision_id").agg(pieces.alias("then"))
+    moved = again.join(stored, "revision_id", "left").where(~F.col("now").eqNullSafe(F.col("then"))).select("revision_id", F.lit("chunks_changed").alias("problem"))
+    refused = changed.unionByName(moved.join(changed, "revision_id", "left_anti"))
+    return old.join(refused, "revision_id", "left_anti").select("revision_id", F.lit(index_version).alias("index_version")), refused
+
+
 def next_version(revisions: DataFrame) -> DataFrame:
     """(source_id, next_version)."""
     return revisions.groupBy("source_id").agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("next_version"))

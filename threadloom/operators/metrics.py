@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import permutations
 
 import numpy as np
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import Steps
+
 # Sample sizes at which a test is exact or asymptotic, and thresholds of a finding.
 EXACT_MOST, ASYMPTOTIC_LEAST, P_FLOOR = 8, 20, 1e-300
 PROMISING_RHO, PROMISING_P, REDUNDANT_RHO = 0.3, 0.05, 0.9
@@ -74,18 +77,31 @@ def adapter_violations(frame: DataFrame, fields: list[str], keys: list[str], at_
     return out
 
 
-def average_ranks(rows: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
-    """Ranks within by, ties sharing the average."""
-    order, tie = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by, value)
-    return rows.withColumn(name, F.rank().over(order) + (F.count(F.lit(1)).over(tie) - 1) / 2)
+def average_ranks(rows: DataFrame, value: str, by: list[str], name: str, steps: Steps | None = None) -> DataFrame:
+    """Ranks within by, ties sharing the average.
+
+    Values are counted, the counts dealt out by ranges of (by, value), and added up within each range and over the ranges before it, so that
+    the values of one group, however many, are ranked by many tasks.
+    """
+    steps = steps or Steps(rows.sparkSession, "ranks")
+    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")).repartitionByRange(*by, value)
+    counts = steps.cut(counts.withColumn("__range", F.spark_partition_id()))
+    sums = counts.groupBy(*by, "__range").agg(F.sum("__n").alias("__sum"))
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "__range", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    upto = Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("__upto", F.sum("__n").over(upto)).join(sums, [*by, "__range"])
+    rank = F.col("__before") + F.col("__upto") - (F.col("__n") - 1) / 2
+    return rows.join(ranked.select(*by, value, rank.alias(name)), [*by, value])
 
 
 def spearman(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """Rank correlation of finite pairs within by: n and rho (null below three pairs or without variance)."""
     ok = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_ranks(average_ranks(ok, x, by, "rx"), y, by, "ry")
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"), F.var_pop("rx").alias("vx"), F.var_pop("ry").alias("vy"))
-    return out.select(*by, "n", F.when((F.col("vx") > 0) & (F.col("vy") > 0) & (F.col("n") >= 3), F.col("rho")).alias("rho"))
+    steps = Steps(pairs.sparkSession, "ranks")
+    ranked = average_ranks(average_ranks(ok, x, by, "rx", steps), y, by, "ry", steps)
+    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("rx", "ry").alias("both"), F.var_pop("rx").alias("vx"), F.var_pop("ry").alias("vy"))
+    return out.select(*by, "n", F.when((F.col("vx") > 0) & (F.col("vy") > 0) & (F.col("n") >= 3), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("both") / F.sqrt(F.col("vx") * F.col("vy"))))).alias("rho"))
 
 
 def fisher_interval(rho: Column, n: Column) -> tuple[Column, Column]:
@@ -192,3 +208,46 @@ def metric_status(long: DataFrame, tests: DataFrame, minimum: int = 5) -> DataFr
     promising = tests.groupBy("metric_name").agg(F.coalesce(F.bool_or(good), F.lit(False)).alias("promising"))
     bad = (F.col("invalid_nonnumeric_count") + F.col("positive_infinity_count") + F.col("negative_infinity_count") > 0) | (F.col("finite_count") < minimum) | (F.col("variance") == 0)
     return quality(long).join(promising, "metric_name", "left").withColumn("status", F.when(bad, "Rejected").when(F.coalesce("promising", F.lit(False)), "Promising").otherwise("Candidate")).drop("promising")
+
+
+def _one_row_a_key(frame: DataFrame, keys: list[str], name: str) -> None:
+    lost = F.count_if(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys]))
+    per = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    repeated = per.where("n > 1").limit(1).count()
+    if repeated or frame.agg(lost).first()[0]:
+        raise ValueError(f"{name}: observation keys must be given and unique")
+
+
+def validate_metrics(frame: DataFrame, outcomes: DataFrame | None, keys: list[str], metric_columns: list[str], outcome_columns: list[str], minimum: int = 5, synthetic: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(statuses, tests): a row for each metric with its census, status and reasons; a row for each metric and outcome with rho, raw and adjusted p.
+
+    Metrics and outcomes meet by keys, which must be unique and the same on both sides, else ValueError. All tests of metrics on outcomes are one
+    family, in which p is adjusted step by step. Without outcomes no metric is promising.
+    """
+    if minimum < 3:
+        raise ValueError("minimum must be 3 or more")
+    _one_row_a_key(frame, keys, "metrics")
+    long = long_metrics(frame, keys, metric_columns)
+    tests = "metric_name string, outcome_name string, n long, rho double, raw_p double, inference_method string, low double, high double, adjusted_p double"
+    if outcomes is None or not outcome_columns:
+        tests = frame.sparkSession.createDataFrame([], tests)
+    else:
+        _one_row_a_key(outcomes, keys, "outcomes")
+        apart = {r["side"]: r["n"] for r in key_differences(frame, outcomes, keys).collect()}
+        if any(apart.values()):
+            raise ValueError(f"keys differ: {apart['left_only']} of metrics only, {apart['right_only']} of outcomes only")
+        side = lambda rows, name, v: rows.select(*keys, F.col("metric_name").alias(name), finite(F.col("raw")).alias(v))
+        pairs = side(long, "metric_name", "x").join(side(long_metrics(outcomes, keys, outcome_columns), "outcome_name", "y"), keys)
+        every = frame.sparkSession.createDataFrame([(m, o) for m in metric_columns for o in outcome_columns], "metric_name string, outcome_name string")
+        found = every.join(associations(pairs, ["metric_name", "outcome_name"]), ["metric_name", "outcome_name"], "left")
+        enough = F.coalesce(F.col("n") >= minimum, F.lit(False))
+        found = found.withColumns({c: F.when(enough, F.col(c)) for c in ("rho", "raw_p", "low", "high")} | {"n": F.coalesce("n", F.lit(0)), "inference_method": F.when(enough, F.col("inference_method")).otherwise("unavailable")})
+        tests = holm(found, ["metric_name", "outcome_name"])
+    rows = metric_status(long, tests, minimum)
+    bad = lambda c: F.col(c) > 0
+    reasons = [
+        (F.col("raw_missing_count") == F.col("sample_size"), "all_missing"), (bad("invalid_nonnumeric_count"), "invalid_nonnumeric_values"), (bad("positive_infinity_count") | bad("negative_infinity_count"), "infinite_values"),
+        (F.col("finite_count") < minimum, "insufficient_sample"), (F.col("variance") == 0, "zero_variance"), (F.lit(outcomes is None), "no_outcome_frame"), (F.lit(outcomes is not None and not outcome_columns), "no_outcome_columns"),
+        (F.col("status") == "Promising", "synthetic_association_only" if synthetic else "association_observed"),
+    ]
+    return rows.withColumn("reasons", F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in reasons]))), tests

@@ -35,22 +35,24 @@ def roots(messages: DataFrame) -> DataFrame:
     """(message_id, root_id, depth): the root of each message's thread and its distance from there plus 1.
 
     Each round doubles how far a message looks up, so rounds grow with the logarithm of a thread's depth. A reply to a message that
-    isn't there is a root. Messages of a cycle reach no root and are left out.
+    isn't there is a root. Messages that reach no root, as they are on a cycle of replies or below one, are left out: of all others that are still open
+    the one nearest to its root is placed in the next round, so a round that places none is the last. Of rows with one id the least parent counts.
     """
     steps = Steps(messages.sparkSession, "roots")
-    known = messages.select(F.col("message_id").alias("p"))
-    state = messages.select("message_id", F.col("reply_to_message_id").alias("p")).join(known, "p", "left_semi").select("message_id", F.col("p").alias("up"), F.lit(1).alias("dist"))
-    tops = messages.select("message_id").join(state, "message_id", "left_anti").select("message_id", F.col("message_id").alias("up"), F.lit(0).alias("dist"))
+    rows = messages.groupBy("message_id").agg(F.min("reply_to_message_id").alias("p"))
+    known = rows.select(F.col("message_id").alias("p"))
+    state = rows.join(known, "p", "left_semi").select("message_id", F.col("p").alias("up"), F.lit(1).cast("long").alias("dist"))
+    tops = rows.select("message_id").join(state, "message_id", "left_anti").select("message_id", F.col("message_id").alias("up"), F.lit(0).cast("long").alias("dist"))
     done, open_ = steps.cut(tops), steps.cut(state)
-    limit = 64
-    while limit and open_.limit(1).count():
-        limit -= 1
+    while open_.limit(1).count():
         top = done.select(F.col("message_id").alias("up"), F.col("up").alias("top"), F.col("dist").alias("more"))
         hit = open_.join(top, "up").select("message_id", F.col("top").alias("up"), (F.col("dist") + F.col("more")).alias("dist"))
         higher = open_.select(F.col("message_id").alias("up"), F.col("up").alias("next"), F.col("dist").alias("more"))
         far = open_.join(higher, "up").select("message_id", F.col("next").alias("up"), (F.col("dist") + F.col("more")).alias("dist"))
         found = steps.cut(hit)
-        open_ = steps.cut(far.where(F.col("message_id") != F.col("up")))
+        if not found.limit(1).count():
+            break
+        open_ = steps.cut(far)
         done = done.unionByName(found)
     return done.select("message_id", F.col("up").alias("root_id"), (F.col("dist") + 1).alias("depth"))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import IMPORTANCE, LANGUAGE, ROLES, USER_ID
+from ..schema import CRITICAL_METADATA, IMPORTANCE, LANGUAGE, PROVENANCES, ROLES, SOURCE_CHANNELS, SOURCE_STATUSES, SOURCE_TYPES, USER_ID
 from .threads import reply_edges, roots
 
 
@@ -56,6 +56,24 @@ def campaign_rules(campaigns: DataFrame, claims: DataFrame, outcomes: DataFrame,
     return reduce(DataFrame.unionByName, checks)
 
 
+def source_rules(sources: DataFrame) -> DataFrame:
+    """Violations of sources as they are handed in: kinds that aren't known, blank texts, addresses, times, and where the critical facts come from.
+
+    metadata_provenance is a map from a fact's name to its origin."""
+    known = lambda c, values: ~F.coalesce(F.col(c).isin(*values), F.lit(False))
+    blank_ = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    url, origin = F.col("canonical_url"), F.col("metadata_provenance")
+    checks = [
+        (known("source_type", SOURCE_TYPES), "unsupported_source_type"), (known("source_channel", SOURCE_CHANNELS), "unsupported_source_channel"), (known("status", SOURCE_STATUSES), "unsupported_status"),
+        (blank_("title") | blank_("content"), "blank_title_or_content"), ((F.col("source_channel") != "manual") & blank_("canonical_url"), "missing_canonical_url"), (~blank_("canonical_url") & ~url.rlike(r"(?i)^https?:"), "unsupported_canonical_url"),
+        (F.col("effective_until") <= F.col("effective_from"), "empty_validity"), (F.size(F.array_except(F.array(*map(F.lit, CRITICAL_METADATA)), F.map_keys(origin))) != 0, "missing_provenance"),
+        (F.exists(F.map_values(origin), lambda v: ~F.coalesce(v.isin(*PROVENANCES), F.lit(False))), "unsupported_provenance"),
+        (F.exists(F.array(*[origin[k] for k in CRITICAL_METADATA]), lambda v: F.coalesce(v == "ai-inferred", F.lit(False))), "inferred_critical_metadata"),
+    ]
+    found = sources.withColumn("rule", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in checks]))))
+    return found.select("rule", F.col("source_id").cast("string").alias("key"))
+
+
 def set_differences(observed: DataFrame, declared: DataFrame, column: str, rule: str) -> DataFrame:
     """Values of one side that the other lacks."""
     a, b = observed.select(column).distinct(), declared.select(column).distinct()

@@ -120,10 +120,20 @@ def _labels() -> str:
     ]
     return base() + f""", dup AS (SELECT message_id, prior_id FROM (SELECT a.message_id, b.message_id AS prior_id, row_number() OVER (PARTITION BY a.message_id ORDER BY b.ts DESC, b.message_id DESC) AS rn FROM x a JOIN x b
     ON a.community_id = b.community_id AND a.user_id_hash = b.user_id_hash AND a.campaign_id IS NOT DISTINCT FROM b.campaign_id AND a.norm = b.norm AND b.ts < a.ts AND a.ts - b.ts <= INTERVAL 1 HOUR WHERE a.user_role = 'moderator' AND b.user_role = 'moderator') WHERE rn = 1),
-lab AS (SELECT x.message_id, x.community_id, x.user_role, CASE x.user_role WHEN 'moderator' THEN {_label_case(mod)} WHEN 'user' THEN {_label_case(usr)} ELSE 'unclassified' END AS behavior
+lab AS (SELECT x.message_id, x.community_id, x.user_role, CASE x.user_role WHEN 'moderator' THEN {_label_case(mod)} WHEN 'user' THEN {_label_case(usr)} ELSE 'unclassified' END AS behavior, p.message_id AS parent, d.prior_id
         FROM x LEFT JOIN x p ON x.reply_to_message_id = p.message_id LEFT JOIN dup d ON d.message_id = x.message_id)"""
 
 
+#: Rules by role (where it matters) and label.
+_RULES = (
+    ("", "duplicate_promotion", "same_actor_campaign_window_exact_text_v1"), ("", "filler", "language_filler_v1"), ("", "spam", "repeated_link_or_spam_phrase_v1"), ("", "question_answering", "moderator_reply_to_question_v1"),
+    ("", "conversation_initiation", "moderator_root_question_v1"), *[("moderator", label, rule) for label, rule, _ in b.MODERATOR_PHRASES], ("moderator", "campaign_propagation", "campaign_fact_phrase_v1"), ("moderator", "normal_chat", "moderator_social_phrase_v1"),
+    ("user", "product_question", "product_question_phrase_v1"), ("user", "campaign_question", "campaign_question_phrase_v1"), ("user", "FUD", "fud_phrase_v1"), ("user", "feature_request", "feature_request_phrase_v1"), ("user", "complaint", "complaint_phrase_v1"),
+    ("user", "negative_feedback", "negative_feedback_phrase_v1"), ("user", "positive_feedback", "positive_feedback_phrase_v1"), ("user", "peer_support", "user_reply_to_peer_v1"), ("user", "CTA_response", "cta_response_phrase_v1"), ("user", "off_topic", "off_topic_phrase_v1"),
+    ("user", "external_information_sharing", "external_source_or_url_v1"), ("user", "purchase_or_usage_intent", "purchase_or_usage_intent_phrase_v1"), ("user", "project_discussion", "project_discussion_phrase_v1"),
+)
+
+
 #: A frame of observations with text values, some of them bad, for the metric queries.
 FRAME = """WITH f AS (SELECT c_custkey AS observation_id, 'g' || (c_custkey % 3) AS community_id, CASE WHEN c_custkey % 11 = 0 THEN ' ' WHEN c_custkey % 13 = 0 THEN NULL ELSE 'n' || c_nationkey END AS language,
   CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 19 = 0 THEN 'bad' WHEN c_custkey % 23 = 0 THEN 'Infinity' WHEN c_custkey % 29 = 0 THEN '-Infinity' ELSE c_acctbal::VARCHAR END AS balance,
@@ -133,10 +143,15 @@ v AS (SELECT *, try_cast(raw AS DOUBLE) AS d, CASE WHEN isfinite(try_cast(raw AS
 _RANKS = "rank() OVER (PARTITION BY {by} ORDER BY {v}) + (count(*) OVER (PARTITION BY {by}, {v}) - 1) / 2.0"
 
 
+#: Of (metric_a, metric_b, n, rho) the two-sided p of Student's t, by sums over the angle whose tangent is t over the root of its degrees of freedom.
+_TAIL = """an AS (SELECT *, atan(abs(rho) / sqrt(greatest(1 - rho * rho, 1e-300))) AS th FROM rho),
+tail AS (SELECT metric_a, metric_b, any_value(n) AS n, any_value(rho) AS rho, greatest(1 - sum(pow(cos((i + 0.5) * th / 20000), n - 3)) * any_value(th) / (sum(pow(cos((i + 0.5) * pi() / 40000), n - 3)) * pi() / 2), 0.0) AS p FROM an, (SELECT unnest(range(20000)) AS i) GROUP BY metric_a, metric_b)"""
+
+
 def oracle_sql() -> dict[str, str]:
     r = {}
-    r["hygiene_by_community"] = POSTS + f""", g AS (SELECT community_id, norm, user_id_hash, count(*) AS n FROM p GROUP BY ALL), q AS (SELECT community_id, norm, sum(n) AS n, sum(CASE WHEN n >= 2 THEN n ELSE 0 END) AS rep FROM g GROUP BY ALL)
-SELECT community_id, sum(n)::BIGINT AS message_count, round(sum(n - 1) / sum(n)::DOUBLE, 9) AS duplicate_ratio, round(sum(CASE WHEN norm IN ({', '.join(map(quote, t.FILLER_TERMS))}) OR length(norm) <= 40 THEN n ELSE 0 END) / sum(n)::DOUBLE, 9) AS filler_ratio, round(sum(rep) / sum(n)::DOUBLE, 9) AS repetitive_content_ratio FROM q GROUP BY 1"""
+    r["hygiene_by_community"] = POSTS + f""", g AS (SELECT community_id, norm, user_id_hash, count(*) AS n FROM p GROUP BY ALL), q AS (SELECT community_id, norm, sum(n) AS n, sum(CASE WHEN n >= 3 THEN n ELSE 0 END) AS rep FROM g GROUP BY ALL)
+SELECT community_id, sum(n)::BIGINT AS message_count, round(sum(n - 1) / sum(n)::DOUBLE, 9) AS duplicate_ratio, round(sum(CASE WHEN norm IN ({', '.join(map(quote, t.FILLER_TERMS))}) OR length(norm) <= 3 THEN n ELSE 0 END) / sum(n)::DOUBLE, 9) AS filler_ratio, round(sum(rep) / sum(n)::DOUBLE, 9) AS repetitive_content_ratio FROM q GROUP BY 1"""
     r["exact_duplicates"] = POSTS + " SELECT message_id, community_id, sha256(norm) AS group_id, n AS group_size FROM (SELECT *, count(*) OVER (PARTITION BY community_id, norm) AS n FROM p) WHERE n >= 2"
     r["repeated_content"] = POSTS + " SELECT message_id, user_id_hash, sha256(norm) AS group_id, n AS group_size FROM (SELECT *, count(*) OVER (PARTITION BY user_id_hash, norm) AS n FROM p) WHERE n >= 2"
     r["bursts"] = """WITH a AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
@@ -171,7 +186,10 @@ wide AS (SELECT s.campaign_id AS scope_id, s.community_id, round(cu / nullif(u,
     from .report import METRICS
 
     r["scope_metrics_long"] = wide + " " + " UNION ALL ".join(f"SELECT scope_id, community_id, {quote(k)} AS metric_name, {k} AS metric_value, CASE WHEN {k} IS NULL THEN 'zero_denominator' ELSE 'observed' END AS diagnostic_reason FROM wide" for k in METRICS)
-    r["seed_behavior_labels"] = _labels() + " SELECT message_id, community_id, user_role, behavior FROM lab"
+    rule = "CASE WHEN user_role NOT IN ('moderator', 'user') THEN 'bot_not_classified_v1' " + " ".join(f"WHEN behavior = {quote(k)}{f' AND user_role = {quote(role)}' if role else ''} THEN {quote(v)}" for role, k, v in _RULES) + " ELSE 'no_seed_rule_match_v1' END"
+    sure = "CASE WHEN behavior = 'unclassified' THEN 0.0 WHEN behavior = 'duplicate_promotion' THEN 0.85 WHEN behavior = 'filler' THEN 0.55 WHEN behavior IN ('question_answering', 'peer_support') THEN 0.8 ELSE 0.65 END"
+    seen = "CASE WHEN behavior = 'duplicate_promotion' THEN prior_id || ',' || message_id WHEN behavior IN ('question_answering', 'peer_support') THEN parent || ',' || message_id ELSE message_id END"
+    r["seed_behavior_labels"] = _labels() + f" SELECT message_id, community_id, user_role, behavior, {rule} AS rule_id, ({sure})::DOUBLE AS confidence, {seen} AS evidence_ids FROM lab"
     r["duplicate_promotion"] = _labels() + " SELECT message_id, prior_id FROM dup"
     r["feedback_counts"] = _labels() + f" SELECT behavior, count(lab.message_id) AS message_count FROM {values([(x,) for x in b.FEEDBACK_LABELS], 'behavior')} LEFT JOIN lab USING (behavior) GROUP BY 1"
     r["metric_quality"] = FRAME + " SELECT metric_name, count(*) AS sample_size, count(*) FILTER (raw IS NULL OR isnan(d)) AS raw_missing_count, count(*) FILTER (raw IS NOT NULL AND d IS NULL) AS invalid_nonnumeric_count, count(*) FILTER (d = 'inf'::DOUBLE) AS positive_infinity_count, count(*) FILTER (d = '-inf'::DOUBLE) AS negative_infinity_count, count(x) AS finite_count, round(avg(x), 6) AS mean, round(var_pop(x), 3) AS variance FROM v GROUP BY 1"
@@ -183,7 +201,7 @@ wide AS (SELECT s.campaign_id AS scope_id, s.community_id, round(cu / nullif(u,
     r["holm_adjust"] = "WITH p AS (SELECT n_nationkey AS test_id, CASE WHEN n_nationkey % 7 = 0 THEN NULL ELSE (n_nationkey * 37 % 100) / 2000.0 END::DOUBLE AS raw_p FROM nation), k AS (SELECT *, row_number() OVER (ORDER BY raw_p ASC NULLS LAST, test_id) AS rn, count(*) OVER () AS m FROM p) SELECT test_id, raw_p, round(CASE WHEN raw_p IS NOT NULL THEN least(1.0, max((m - rn + 1) * raw_p) OVER (ORDER BY rn)) END, 9) AS adjusted_p FROM k"
     r["role_asof"] = BASE + ", ra AS (SELECT 'usr_' || (c_custkey % 29) AS u, CASE c_custkey % 3 WHEN 0 THEN 'moderator' WHEN 1 THEN 'user' ELSE 'bot' END AS role, TIMESTAMP '2024-01-01' + to_hours((c_custkey % 50)::BIGINT) AS vf, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01' + to_hours((c_custkey % 50 + 20)::BIGINT) END AS vt, c_custkey AS version FROM customer WHERE c_custkey % 5 = 0) SELECT message_id, user_role, coalesce((SELECT max_by(role, version) FROM ra WHERE u = user_id_hash AND vf <= ts AND (vt IS NULL OR ts < vt)), user_role) AS resolved_role FROM m"
     r["actor_rollup"] = BASE + " SELECT community_id, user_id_hash, count(*) AS message_count, min(ts) AS first_message_at, max(ts) AS last_message_at FROM m GROUP BY ALL"
-    r["freshness"] = BASE + " SELECT g.community_id, max(ts) AS latest_message_at, epoch(TIMESTAMP '2024-01-05 12:00:00') - epoch(max(ts)) AS age_seconds, CASE WHEN max(ts) IS NULL THEN 'no_data' WHEN epoch(TIMESTAMP '2024-01-05 12:00:00') - epoch(max(ts)) <= 86400 THEN 'current' ELSE 'stale' END AS status FROM (SELECT unnest(['g0', 'g1', 'g2', 'g3', 'g9']) AS community_id) g LEFT JOIN m ON m.community_id = g.community_id AND m.conv_id % 40 < 30 AND ts < TIMESTAMP '2024-01-05 12:00:00' AND (m.community_id <> 'g1' OR ts < TIMESTAMP '2024-01-03') GROUP BY 1"
+    r["freshness"] = BASE + " SELECT g.community_id, max(ts) AS latest_message_at, epoch(TIMESTAMP '2024-01-05 12:00:00') - epoch(max(ts)) AS age_seconds, CASE WHEN max(ts) IS NULL THEN 'no_data' WHEN epoch(TIMESTAMP '2024-01-05 12:00:00') - epoch(max(ts)) <= 86400 THEN 'current' ELSE 'stale' END AS status FROM (SELECT unnest(['g0', 'g1', 'g2', 'g3', 'g9']) AS community_id) g LEFT JOIN m ON m.community_id = g.community_id AND ts < TIMESTAMP '2024-01-05 12:00:00' GROUP BY 1"
     r["window_vs_baseline"] = BASE + " SELECT community_id, count(*) FILTER (ts >= TIMESTAMP '2024-01-03') AS messages, count(*) FILTER (ts < TIMESTAMP '2024-01-03') AS baseline_messages, count(DISTINCT CASE WHEN ts >= TIMESTAMP '2024-01-03' THEN user_id_hash END) AS users, count(DISTINCT CASE WHEN ts < TIMESTAMP '2024-01-03' THEN user_id_hash END) AS baseline_users FROM m WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-04' GROUP BY 1"
     r["list_messages"] = BASE + " SELECT message_id, ts AS timestamp FROM m WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-03'"
     r["late_reply_resolution"] = BASE + " SELECT message_id, reply_to_message_id FROM m"
@@ -194,17 +212,17 @@ wide AS (SELECT s.campaign_id AS scope_id, s.community_id, round(cu / nullif(u,
     r["vector_topk"] = f"WITH {vec} SELECT query_id, vec_id, rank FROM sem"
     two = docs + ", lb AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY (chunk_id * 31 + query_id * 17) % 1009, chunk_id) AS rank FROM lex)"
     r["rrf_fusion"] = two + " SELECT query_id, chunk_id, round(sum(1 / (60.0 + rank)), 9) AS rrf, count(*) AS channels FROM (SELECT query_id, chunk_id, rank FROM lex WHERE rank <= 20 UNION ALL SELECT query_id, chunk_id, rank FROM lb WHERE rank <= 20) GROUP BY ALL"
-    pool = two + ", fu AS (SELECT query_id, chunk_id, round(sum(1 / (60.0 + rank)), 9) AS rrf, count(*) AS channels FROM (SELECT query_id, chunk_id, rank FROM lex UNION ALL SELECT query_id, chunk_id, rank FROM lb WHERE rank <= 20) GROUP BY ALL), cd AS (SELECT *, CASE chunk_id % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'inactive' ELSE 'future' END AS state, CASE WHEN chunk_id % 7 = 0 THEN 'community' ELSE 'verified_official' END AS off, CASE WHEN chunk_id % 11 = 0 THEN 'draft' ELSE 'current' END AS st, 's' || (chunk_id % 6) AS source_id FROM fu), ok AS (SELECT *, max(CASE WHEN state = 'active' THEN rrf END) OVER (PARTITION BY query_id) AS best, max(CASE WHEN state = 'inactive' AND channels = 2 THEN rrf END) OVER (PARTITION BY query_id) AS top FROM cd WHERE off = 'verified_official' AND st NOT IN ('draft', 'unknown') AND state <> 'future'), ld AS (SELECT *, min(CASE WHEN state = 'inactive' AND channels = 2 AND rrf = top AND rrf > best THEN chunk_id END) OVER (PARTITION BY query_id) AS lead FROM ok), sel AS (SELECT query_id, chunk_id, source_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN chunk_id = lead THEN 0 ELSE 1 END, CASE state WHEN 'active' THEN 0 ELSE 1 END, rrf DESC, chunk_id) AS place FROM ld)"
+    pool = two + ", fu AS (SELECT query_id, chunk_id, round(sum(1 / (60.0 + rank)), 9) AS rrf, count(*) AS channels FROM (SELECT query_id, chunk_id, rank FROM lex UNION ALL SELECT query_id, chunk_id, rank FROM lb WHERE rank <= 20) GROUP BY ALL), cd AS (SELECT *, CASE chunk_id % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'inactive' ELSE 'future' END AS state, CASE WHEN chunk_id % 7 = 0 THEN 'community' ELSE 'verified_official' END AS off, CASE WHEN chunk_id % 11 = 0 THEN 'draft' ELSE 'current' END AS st, 's' || (CASE WHEN query_id % 2 = 0 AND chunk_id % 5 < 4 THEN 0 ELSE chunk_id % 6 END) AS source_id FROM fu), ok AS (SELECT *, max(CASE WHEN state = 'active' THEN rrf END) OVER (PARTITION BY query_id) AS best, max(CASE WHEN state = 'inactive' AND channels = 2 THEN rrf END) OVER (PARTITION BY query_id) AS top FROM cd WHERE off = 'verified_official' AND st NOT IN ('draft', 'unknown') AND state <> 'future'), ld AS (SELECT *, min(CASE WHEN state = 'inactive' AND channels = 2 AND rrf = top AND rrf > best THEN chunk_id END) OVER (PARTITION BY query_id) AS lead FROM ok), sel AS (SELECT query_id, chunk_id, source_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN chunk_id = lead THEN 0 ELSE 1 END, CASE state WHEN 'active' THEN 0 ELSE 1 END, rrf DESC, chunk_id) AS place FROM ld)"
     r["select_candidates"] = pool + " SELECT query_id, chunk_id, place FROM sel WHERE place <= 8"
-    r["source_diversity"] = pool + ", cu AS (SELECT * FROM sel WHERE place <= 4), bs AS (SELECT query_id, source_id, count(*) AS n, max(place) AS last, min(place) AS first FROM cu GROUP BY ALL), dm AS (SELECT query_id, arg_max(last, n * 1000 - first) AS gone FROM bs GROUP BY 1 HAVING sum(n) >= 4 AND max(n) > 2), un AS (SELECT * FROM sel ANTI JOIN bs USING (query_id, source_id)), nw AS (SELECT query_id, min({'place': place, 'chunk': chunk_id, 'source': source_id}) AS r FROM un GROUP BY 1) SELECT cu.query_id, cu.place, CASE WHEN cu.place = gone AND r IS NOT NULL THEN r.chunk ELSE chunk_id END AS chunk_id, CASE WHEN cu.place = gone AND r IS NOT NULL THEN r.source ELSE source_id END AS source_id FROM cu LEFT JOIN dm USING (query_id) LEFT JOIN nw USING (query_id)"
+    r["source_diversity"] = pool + ", cu AS (SELECT * FROM sel WHERE place <= 20), bs AS (SELECT query_id, source_id, count(*) AS n, max(place) AS last, min(place) AS first FROM cu GROUP BY ALL), dm AS (SELECT query_id, arg_max(last, n * 1000 - first) AS gone FROM bs GROUP BY 1 HAVING sum(n) >= 20 AND max(n) > 10), un AS (SELECT * FROM sel ANTI JOIN bs USING (query_id, source_id)), nw AS (SELECT query_id, min({'place': place, 'chunk': chunk_id, 'source': source_id}) AS r FROM un GROUP BY 1) SELECT cu.query_id, cu.place, CASE WHEN cu.place = gone AND r IS NOT NULL THEN r.chunk ELSE chunk_id END AS chunk_id, CASE WHEN cu.place = gone AND r IS NOT NULL THEN r.source ELSE source_id END AS source_id FROM cu LEFT JOIN dm USING (query_id) LEFT JOIN nw USING (query_id)"
     r["retrieval_metrics"] = docs + ", gold AS (SELECT item_id AS query_id, doc_id AS target FROM benchmark JOIN documents d ON contains(d.text, benchmark.text)), n AS (SELECT query_id, count(*) AS n FROM gold GROUP BY 1), h AS (SELECT g.query_id, rank, n FROM gold g JOIN n USING (query_id) JOIN lex ON lex.query_id = g.query_id AND lex.chunk_id = g.target), a AS (SELECT query_id, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 3) AS h3, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= n) AS hr, min(rank) FILTER (rank <= 5) AS b, sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM h GROUP BY 1) SELECT q.query_id, " + ", ".join(f"CASE WHEN n IS NOT NULL THEN (coalesce(h{k}, 0) > 0)::INTEGER::DOUBLE END AS hit_at_{k}, round(CASE WHEN n IS NOT NULL THEN coalesce(h{k}, 0) / {k}.0 END::DOUBLE, 9) AS precision_at_{k}, round(coalesce(h{k}, 0) / n, 9) AS recall_at_{k}" for k in (1, 3, 5)) + ", round(coalesce(hr, 0) / n, 9) AS r_precision, round(CASE WHEN n IS NOT NULL THEN coalesce(1.0 / b, 0) END::DOUBLE, 9) AS mrr_at_5, round(CASE WHEN n IS NOT NULL THEN coalesce(dcg, 0) / list_sum(list_transform(range(1, least(5, n) + 1), lambda i: 1 / log2(i + 1))) END, 9) AS ndcg_at_5 FROM (SELECT item_id AS query_id FROM benchmark) q LEFT JOIN n USING (query_id) LEFT JOIN a USING (query_id)"
     rev = "WITH r AS (SELECT 's' || (doc_id % 50) AS source_id, sha256(text) AS content_hash, TIMESTAMP '2024-01-01' + to_hours(doc_id::BIGINT) AS effective_from FROM documents), f AS (SELECT source_id, content_hash, min(effective_from) AS effective_from FROM r GROUP BY ALL), ve AS (SELECT *, row_number() OVER w AS version, lead(effective_from) OVER w AS superseded_at FROM f WINDOW w AS (PARTITION BY source_id ORDER BY effective_from, content_hash))"
     r["scd2_versions"] = rev + " SELECT *, CASE WHEN superseded_at IS NULL THEN 'active' ELSE 'superseded' END AS status FROM ve"
     r["temporal_state"] = rev + " SELECT source_id, version, CASE WHEN TIMESTAMP '2024-01-20' < effective_from THEN 'future' WHEN TIMESTAMP '2024-01-20' >= superseded_at THEN 'inactive' ELSE 'active' END AS temporal_state FROM ve"
     ch = "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda z: z <> '') AS w FROM documents), c AS (SELECT doc_id, i AS ordinal, w[i * 150 + 1:i * 150 + 180] AS p FROM (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) <= 180 THEN 1 ELSE (len(w) - 1) // 150 + 1 END)) AS i FROM w WHERE len(w) > 0)), ck AS (SELECT doc_id, ordinal::BIGINT AS ordinal, len(p) AS token_count, array_to_string(p, ' ') AS text FROM c)"
     r["window_chunks"] = ch + " SELECT doc_id, ordinal, token_count, sha256(text) AS text_sha256 FROM ck"
-    r["neighbor_context"] = ch + ", h AS (SELECT doc_id, ordinal AS o FROM ck WHERE (doc_id + ordinal) % 9 = 0), nb AS (SELECT h.doc_id, h.o AS hit_ordinal, ck.ordinal, ck.text, coalesce(sum(length(ck.text)) OVER (PARTITION BY h.doc_id, h.o ORDER BY CASE WHEN ck.ordinal = h.o THEN 0 ELSE 1 END, ck.ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM h JOIN ck ON ck.doc_id = h.doc_id AND ck.ordinal BETWEEN h.o - 1 AND h.o + 1) SELECT doc_id, hit_ordinal, ordinal, least(length(text), 2000 - used)::BIGINT AS chars, sha256(substr(text, 1, (2000 - used)::BIGINT)) AS text_sha256 FROM nb WHERE used < 2000"
-    r["quote_check"] = "WITH q AS (SELECT item_id, doc_id, substr(b.text, 1, 40) AS quote, d.text FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40) SELECT item_id, doc_id, trim(regexp_replace(quote, '\\s+', ' ', 'g')) <> '' AND contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))) AS found FROM q"
+    r["neighbor_context"] = ch + ", h AS (SELECT doc_id, ordinal AS o FROM ck), nb AS (SELECT h.doc_id, h.o AS hit_ordinal, ck.ordinal, ck.text, coalesce(sum(length(ck.text)) OVER (PARTITION BY h.doc_id, h.o ORDER BY CASE WHEN ck.ordinal = h.o THEN 0 ELSE 1 END, ck.ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM h JOIN ck ON ck.doc_id = h.doc_id AND ck.ordinal BETWEEN h.o - 1 AND h.o + 1) SELECT doc_id, hit_ordinal, ordinal, least(length(text), 2000 - used)::BIGINT AS chars, sha256(substr(text, 1, (2000 - used)::BIGINT)) AS text_sha256 FROM nb WHERE used < 2000"
+    r["quote_check"] = "WITH q AS (SELECT item_id, doc_id, b.text AS quote, d.text FROM benchmark b CROSS JOIN documents d) SELECT item_id, doc_id, trim(regexp_replace(quote, '\\s+', ' ', 'g')) <> '' AND contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))) AS found FROM q"
     stop = ", ".join(map(quote, t.STOP_TERMS))
     r["search_terms"] = f"SELECT item_id, array_to_string(list_distinct_ordered, ',') AS terms FROM (SELECT item_id, list_filter(tt, lambda z, i: list_position(tt, z) = i) AS list_distinct_ordered FROM (SELECT item_id, list_transform(list_filter(list_transform(regexp_extract_all(text, '[\\pL\\pN_]+'), lambda z: replace(lower(z), 'ß', 'ss')), lambda z: length(z) > 1 AND z NOT IN ({stop})), lambda z: CASE WHEN regexp_matches(z, '^[\\x00-\\x7F]{{4,}}s$') THEN substr(z, 1, length(z) - 1) ELSE z END) AS tt FROM benchmark))"
     r["sender_concentration"] = BASE + ", c AS (SELECT community_id, user_id_hash, count(*) AS n FROM m GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY n DESC, user_id_hash) AS rk FROM c) SELECT community_id, count(*) AS senders, sum(n)::BIGINT AS messages, round(sum(CASE WHEN rk <= 1 THEN n ELSE 0 END) / sum(n)::DOUBLE, 9) AS top_sender_share, round(sum(CASE WHEN rk <= 10 THEN n ELSE 0 END) / sum(n)::DOUBLE, 9) AS top_senders_share FROM k GROUP BY 1"
@@ -218,11 +236,88 @@ wide AS (SELECT s.campaign_id AS scope_id, s.community_id, round(cu / nullif(u,
     r["html_text_extract"] = f"WITH x AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split({gone}, chr(10)), lambda z: trim(z)), lambda z: z <> ''), chr(10)) AS t FROM pages) SELECT page_id, length(t) AS n_chars, len(string_split(t, chr(10))) AS n_lines, sha256(t) AS text_sha256 FROM x"
     r["evidence_union"] = BASE + ", u AS (SELECT message_id FROM m WHERE user_role = 'user' UNION SELECT reply_to_message_id FROM m WHERE reply_to_message_id IS NOT NULL) SELECT community_id, count(*) AS evidence_rows FROM u JOIN m USING (message_id) GROUP BY 1"
     r["evidence_integrity"] = BASE + " SELECT 'missing' AS problem, count(*) AS n FROM m WHERE user_role <> 'user' AND conv_id % 2 = 0 UNION ALL SELECT 'unreferenced', count(*) FROM m WHERE user_role = 'user' AND conv_id % 2 = 1"
-    r["message_violations"] = BASE + ", b AS (SELECT *, CASE WHEN conv_id % 9 = 4 AND turn = 1 THEN 'nowhere' ELSE reply_to_message_id END AS rp, CASE WHEN conv_id % 8 = 3 THEN 'owner' ELSE user_role END AS ro, CASE WHEN conv_id % 7 = 2 AND turn = 2 THEN 'g9' ELSE community_id END AS co FROM m) SELECT 'missing_parent' AS rule, count(*) AS n FROM b WHERE rp = 'nowhere' UNION ALL SELECT 'unknown_role', count(*) FROM b WHERE ro = 'owner' UNION ALL SELECT 'malformed_user_id', count(*) FROM b WHERE NOT regexp_matches(user_id_hash, '^usr_[0-9a-f]+$') UNION ALL SELECT 'cross_community_reply', count(*) FROM b c JOIN b p ON c.rp = p.message_id WHERE c.co <> p.co"
-    r["tfidf_weights"] = BASE + ", g AS (SELECT message_id, unnest(flatten(list_transform([2, 3, 4], lambda k: list_transform(range(1, greatest(length(norm) - k + 2, 1)), lambda i: substr(norm, i, k))))) AS term FROM m WHERE conv_id % 10 = 0), tf AS (SELECT message_id, term, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), nn AS (SELECT count(*) AS n FROM m WHERE conv_id % 10 = 0), w AS (SELECT message_id, (1 + ln(tf)) * (ln((1 + nn.n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term) CROSS JOIN nn) SELECT message_id, count(*) AS terms, round(sum(w) / sqrt(sum(w * w)), 6) AS weight_sum FROM w GROUP BY 1"
+    at = lambda a, b: f"conv_id % {a} = {b} AND turn = 1"
+    circle = "CASE WHEN turn = 0 THEN 'c' || conv_id || '_2' WHEN turn <= 2 THEN 'c' || conv_id || '_' || (turn - 1) ELSE reply_to_message_id END"
+    bad = f"""SELECT message_id AS id, conv_id, turn, CASE WHEN {at(9, 4)} THEN 'nowhere' WHEN {at(11, 5)} THEN message_id WHEN conv_id % 13 = 6 THEN {circle} ELSE reply_to_message_id END AS rp, CASE WHEN conv_id % 8 = 3 THEN 'owner' ELSE user_role END AS ro,
+        CASE WHEN {at(10, 7)} THEN ' ' WHEN conv_id % 7 = 2 AND turn = 2 THEN 'g9' ELSE community_id END AS co, CASE WHEN {at(10, 3)} THEN '' ELSE text END AS tx, CASE WHEN {at(12, 8)} THEN 'english!' ELSE language END AS la,
+        CASE WHEN {at(15, 1)} THEN 'bob' ELSE user_id_hash END AS us, CASE WHEN {at(16, 9)} THEN ts - INTERVAL 30 DAY ELSE ts END AS tm, CASE WHEN conv_id % 6 = 1 AND turn = 2 THEN 'camp_x' ELSE campaign_id END AS ca FROM m"""
+    count = lambda rule, where: f"SELECT '{rule}' AS rule, count(*) AS n FROM {where}"
+    edge = "b c JOIN b p ON c.rp = p.id WHERE "
+    r["message_violations"] = BASE + f""", b0 AS ({bad}), b AS (SELECT * FROM b0 UNION ALL SELECT * FROM b0 WHERE conv_id % 17 = 3 AND turn = 0),
+reach AS (SELECT DISTINCT id FROM b WHERE rp IS NULL OR rp NOT IN (SELECT id FROM b) UNION SELECT b.id FROM b JOIN reach ON b.rp = reach.id) """ + " UNION ALL ".join([
+        count("duplicate_message_id", "(SELECT id FROM b GROUP BY id HAVING count(*) > 1)"), count("blank_message_id", "b WHERE trim(coalesce(id, '')) = ''"), count("blank_community_id", "b WHERE trim(coalesce(co, '')) = ''"), count("blank_text", "b WHERE trim(coalesce(tx, '')) = ''"),
+        count("unknown_role", "b WHERE ro NOT IN ('moderator', 'user', 'bot')"), count("malformed_user_id", "b WHERE NOT regexp_full_match(us, 'usr_[0-9a-f]+')"), count("malformed_language", "b WHERE NOT regexp_full_match(la, '[a-z]{2,3}(-[a-z0-9]{2,8})*')"),
+        count("missing_parent", "b WHERE rp IS NOT NULL AND rp NOT IN (SELECT id FROM b)"), count("self_reply", "b WHERE id = rp"), count("cross_community_reply", edge + "c.co <> p.co"), count("cross_campaign_reply", edge + "c.ca <> p.ca"), count("reply_before_parent", edge + "c.tm < p.tm"),
+        count("cycle", "b WHERE id NOT IN (SELECT id FROM reach)"),
+    ])
+    fact = lambda i: f"CASE WHEN (doc_id + {i}) % 31 = 0 THEN 'ai-inferred' WHEN (doc_id + {i}) % 37 = 0 THEN 'guessed' ELSE 'human-confirmed' END"
+    there = [fact(i) if i < 4 else f"CASE WHEN doc_id % 41 <> 0 THEN {fact(i)} END" for i in range(5)]
+    url = "CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 'ftp' ELSE 'https' END"
+    broken = (
+        ("unsupported_source_type", "doc_id % 19 = 0"), ("unsupported_source_channel", "doc_id % 17 = 0"), ("unsupported_status", "doc_id % 23 = 0"), ("blank_title_or_content", "doc_id % 29 = 0 OR trim(coalesce(text, ''), ' ') = ''"),
+        ("missing_canonical_url", f"({url}) IS NULL AND NOT (doc_id % 17 <> 0 AND doc_id % 3 = 0)"), ("unsupported_canonical_url", f"({url}) = 'ftp'"), ("empty_validity", "doc_id % 13 = 0"), ("missing_provenance", "doc_id % 41 = 0"),
+        ("unsupported_provenance", " OR ".join(f"coalesce({x}, '') = 'guessed'" for x in there)), ("inferred_critical_metadata", " OR ".join(f"coalesce({x}, '') = 'ai-inferred'" for x in there)),
+    )
+    r["source_violations"] = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) AS n FROM documents WHERE {w}" for k, w in broken) + ") WHERE n > 0"
+    r["tfidf_weights"] = BASE + ", g AS (SELECT message_id, unnest(flatten(list_transform([2, 3, 4], lambda k: list_transform(range(1, greatest(length(norm) - k + 2, 1)), lambda i: substr(norm, i, k))))) AS term FROM m), tf AS (SELECT message_id, term, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), nn AS (SELECT count(*) AS n FROM m), w AS (SELECT message_id, (1 + ln(tf)) * (ln((1 + nn.n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term) CROSS JOIN nn) SELECT message_id, count(*) AS terms, round(sum(w) / sqrt(sum(w * w)), 6) AS weight_sum FROM w GROUP BY 1"
     r["stream_without_repeats"] = "SELECT event_id, user_id FROM events"
     r["stream_activity"] = "SELECT event_type, date_trunc('day', ts) AS window_start, count(*) AS message_count FROM events GROUP BY ALL"
     r["latency_percentiles"] = base() + ", fr AS (SELECT p_id, community_id, epoch(min(ts)) - epoch(any_value(p_ts)) AS l FROM e WHERE edge = 'user_to_moderator' GROUP BY 1, 2) SELECT community_id, quantile_disc(l, 0.5) AS p50, quantile_disc(l, 0.95) AS p95 FROM fr GROUP BY 1"
     r["key_differences"] = "SELECT 'left_only' AS side, count(*) AS n FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0 EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) UNION ALL SELECT 'right_only', count(*) FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)"
-    r["metric_status"] = FRAME + " SELECT metric_name, CASE WHEN count(*) FILTER (raw IS NOT NULL AND d IS NULL) + count(*) FILTER (isinf(d)) > 0 OR count(x) < 5 OR var_pop(x) = 0 THEN 'Rejected' ELSE 'Candidate' END AS status FROM v WHERE metric_name <> 'none' GROUP BY 1"
+    family = """WITH f AS (SELECT c_custkey AS observation_id, CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 19 = 0 THEN 'bad' WHEN c_custkey % 23 = 0 THEN 'Infinity' WHEN c_custkey % 29 = 0 THEN '-Infinity' ELSE c_acctbal::VARCHAR END AS balance, (c_custkey % 50)::VARCHAR AS residue,
+  (c_custkey * c_custkey % 101)::VARCHAR AS square, (c_custkey % 50 * 3 + c_custkey % 7)::VARCHAR AS echo, '1' AS flat, CASE WHEN c_custkey <= 3 THEN c_custkey::VARCHAR END AS rare, c_custkey % 50 * 2 + c_custkey % 11 AS growth, c_custkey * 7 % 13 AS noise FROM customer),
+l AS (SELECT observation_id, unnest(['balance', 'residue', 'square', 'echo', 'flat', 'rare']) AS metric_a, unnest([balance, residue, square, echo, flat, rare]) AS raw FROM f),
+v AS (SELECT *, try_cast(raw AS DOUBLE) AS d, CASE WHEN isfinite(try_cast(raw AS DOUBLE)) THEN try_cast(raw AS DOUBLE) END AS x FROM l),
+o AS (SELECT observation_id, unnest(['growth', 'noise']) AS metric_b, unnest([growth, noise])::DOUBLE AS y FROM f),
+pr AS (SELECT metric_a, metric_b, x, y FROM v JOIN o USING (observation_id) WHERE x IS NOT NULL AND y IS NOT NULL),
+rk AS (SELECT *, """ + _RANKS.format(by="metric_a, metric_b", v="x") + " AS rx, " + _RANKS.format(by="metric_a, metric_b", v="y") + """ AS ry FROM pr),
+rho AS (SELECT metric_a, metric_b, count(*) AS n, CASE WHEN count(*) >= 5 AND var_pop(rx) > 0 AND var_pop(ry) > 0 THEN corr(rx, ry) END AS rho FROM rk GROUP BY ALL), """ + _TAIL + """,
+tests AS (SELECT metric_a AS metric_name, metric_b AS outcome_name, n, rho, CASE WHEN n >= 20 THEN p END AS raw_p, CASE WHEN n < 5 OR rho IS NULL THEN 'unavailable' WHEN n < 20 THEN 'descriptive_only_small_sample' ELSE 'asymptotic_spearman' END AS inference_method FROM tail),
+step AS (SELECT *, row_number() OVER (ORDER BY raw_p NULLS LAST, metric_name, outcome_name) AS rn, count(*) OVER () AS m FROM tests),
+adj AS (SELECT *, CASE WHEN raw_p IS NOT NULL THEN least(1.0, max((m - rn + 1) * raw_p) OVER (ORDER BY rn)) END AS adjusted_p FROM step)"""
+    r["metric_tests"] = family + " SELECT metric_name, outcome_name, n, round(rho, 7) AS rho, round(raw_p, 7) AS raw_p, round(adjusted_p, 7) AS adjusted_p, inference_method FROM adj"
+    r["metric_status"] = family + """, good AS (SELECT metric_name, bool_or(coalesce(abs(rho) >= 0.3 AND adjusted_p <= 0.05, FALSE)) AS g FROM adj GROUP BY 1),
+q AS (SELECT metric_a AS metric_name, count(*) AS n, count(*) FILTER (raw IS NULL) AS miss, count(*) FILTER (raw IS NOT NULL AND d IS NULL) AS bad, count(*) FILTER (isinf(d)) AS inf, count(x) AS fin, var_pop(x) AS var FROM v GROUP BY 1),
+s AS (SELECT *, CASE WHEN bad + inf > 0 OR fin < 5 OR var = 0 THEN 'Rejected' WHEN g THEN 'Promising' ELSE 'Candidate' END AS status FROM q LEFT JOIN good USING (metric_name))
+SELECT metric_name, status, array_to_string(list_filter([CASE WHEN miss = n THEN 'all_missing' END, CASE WHEN bad > 0 THEN 'invalid_nonnumeric_values' END, CASE WHEN inf > 0 THEN 'infinite_values' END, CASE WHEN fin < 5 THEN 'insufficient_sample' END,
+  CASE WHEN var = 0 THEN 'zero_variance' END, CASE WHEN status = 'Promising' THEN 'synthetic_association_only' END], lambda z: z IS NOT NULL), ',') AS reasons FROM s"""
+    r["metric_associations"] = pairs + ", " + _TAIL + """ SELECT metric_a, metric_b, n, round(rho, 7) AS rho, round(p, 7) AS raw_p, 'asymptotic_spearman' AS inference_method, round(tanh(atanh(least(greatest(rho, -0.999999), 0.999999)) - 1.96 / sqrt(n - 3)), 7) AS low,
+  round(tanh(atanh(least(greatest(rho, -0.999999), 0.999999)) + 1.96 / sqrt(n - 3)), 7) AS high FROM tail"""
+    r["knowledge_revisions"] = """WITH c AS (SELECT 's' || (doc_id % 50) AS source_id, sha256(coalesce(text, '')) AS content_hash, TIMESTAMP '2024-01-01' + to_hours(doc_id::BIGINT) AS effective_from, (CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1000000000 END) + doc_id AS arrived FROM documents),
+f AS (SELECT source_id, content_hash, min(arrived) AS arrived, arg_min(effective_from, arrived) AS effective_from FROM c GROUP BY ALL)
+SELECT source_id, row_number() OVER w AS version, content_hash, CASE WHEN lead(arrived) OVER w IS NULL THEN 'current' ELSE 'superseded' END AS status, effective_from, lead(effective_from) OVER w AS superseded_at FROM f WINDOW w AS (PARTITION BY source_id ORDER BY arrived)"""
+    terms = lambda c: f"list_filter(list_transform(list_filter(list_transform(regexp_extract_all({c}, '[\\pL\\pN_]+'), lambda z: replace(lower(z), 'ß', 'ss')), lambda z: length(z) > 1 AND z NOT IN ({stop})), lambda z: CASE WHEN regexp_matches(z, '^[\\x00-\\x7F]{{4,}}s$') THEN substr(z, 1, length(z) - 1) ELSE z END), lambda z: TRUE)"
+    store = ch + f""", ix AS (SELECT doc_id, ordinal, doc_id || ':' || ordinal AS chunk_id, text, 'Title: guide ' || (doc_id % 40) || chr(10) || chr(10) || text AS body FROM ck),
+bw AS (SELECT chunk_id, list_concat(regexp_extract_all(lower(body), '[\\pL\\pN_]+'), list_distinct({terms('body')})) AS w FROM ix), po AS (SELECT chunk_id, term, count(*) AS tf, any_value(n) AS length FROM (SELECT chunk_id, len(w) AS n, unnest(w) AS term FROM bw) GROUP BY ALL),
+tot AS (SELECT count(*) AS chunks, sum(len(w)) AS tokens FROM bw), q AS (SELECT item_id AS query_id, list_distinct({terms('text')}) AS qt, CASE WHEN item_id % 3 <> 0 THEN TIMESTAMP '2024-01-20' ELSE TIMESTAMP '2024-02-10' END AS wh FROM benchmark WHERE trim(text) <> '' AND length(text) <= 8000),
+qs AS (SELECT query_id, unnest(qt) AS term FROM q), df AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
+sc AS (SELECT query_id, chunk_id, round(sum(ln((chunks - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (tokens / chunks)))), 9) AS score FROM po JOIN qs USING (term) JOIN df USING (term) CROSS JOIN tot GROUP BY ALL),
+lex AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 40),
+ca AS (SELECT query_id, chunk_id, 's' || (doc_id % 40) AS source_id, rank, 1 / (60.0 + rank) AS rrf, text, qt, doc_id, ordinal, CASE WHEN wh < ef THEN 'future' WHEN doc_id % 3 = 2 AND wh >= ef + to_hours(200) THEN 'inactive' WHEN wh >= TIMESTAMP '2024-02-10' AND doc_id % 11 <> 0 AND doc_id % 6 = 5 AND doc_id % 40 % 4 = 1 THEN 'inactive' ELSE 'active' END AS state
+  FROM lex JOIN (SELECT *, TIMESTAMP '2024-01-01' + to_hours((doc_id % 1000)::BIGINT) AS ef FROM ix) USING (chunk_id) JOIN q USING (query_id)),
+ok AS (SELECT * FROM ca WHERE doc_id % 40 % 9 <> 4 AND doc_id % 11 <> 0 AND state <> 'future'),
+cu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE state WHEN 'active' THEN 0 ELSE 1 END, rrf DESC, chunk_id) AS place FROM ok WHERE rank <= 20), de AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE state WHEN 'active' THEN 0 ELSE 1 END, rrf DESC, chunk_id) AS place FROM ok),
+bs AS (SELECT query_id, source_id, count(*) AS n, max(place) AS last, min(place) AS first FROM cu GROUP BY ALL), dm AS (SELECT query_id, arg_max(last, n * 1000 - first) AS gone FROM bs GROUP BY 1 HAVING sum(n) >= 20 AND max(n) > 10),
+nw AS (SELECT query_id, arg_min(chunk_id, place) AS fresh FROM de ANTI JOIN bs USING (query_id, source_id) GROUP BY 1),
+po2 AS (SELECT cu.query_id, cu.place, CASE WHEN cu.place = gone AND fresh IS NOT NULL THEN fresh ELSE cu.chunk_id END AS chunk_id FROM cu LEFT JOIN dm USING (query_id) LEFT JOIN nw USING (query_id)),
+ci AS (SELECT p.query_id, p.place, ca.* EXCLUDE (query_id) FROM po2 p JOIN ca USING (query_id, chunk_id) WHERE p.place <= 5),
+nb AS (SELECT ci.query_id, ci.chunk_id AS hit, ck.ordinal, ck.text, coalesce(sum(length(ck.text)) OVER (PARTITION BY ci.query_id, ci.chunk_id ORDER BY CASE WHEN ck.ordinal = ci.ordinal THEN 0 ELSE 1 END, ck.ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM ci JOIN ck ON ck.doc_id = ci.doc_id AND ck.ordinal BETWEEN ci.ordinal - 1 AND ci.ordinal + 1),
+cx AS (SELECT query_id, hit, string_agg(substr(text, 1, (4000 - used)::BIGINT), chr(10) ORDER BY ordinal) AS context FROM nb WHERE used < 4000 GROUP BY ALL)"""
+    r["knowledge_query"] = store + f" SELECT ci.query_id, place, ci.chunk_id, source_id, state AS temporal_state, round(rrf, 9) AS rrf, 1::BIGINT AS channels, round(len(list_intersect(qt, {terms('text')})) / greatest(1, len(qt))::DOUBLE, 9) AS term_coverage, sha256(context) AS context FROM ci JOIN cx ON cx.query_id = ci.query_id AND cx.hit = ci.chunk_id"
+    r["knowledge_statuses"] = store + """, pe AS (SELECT query_id, count(*) FILTER (state = 'active') AS a, count(*) FILTER (state = 'inactive') AS i, count(DISTINCT CASE WHEN state = 'active' THEN source_id END) AS s FROM ci WHERE place <= 2 GROUP BY 1)
+SELECT item_id AS query_id, CASE WHEN pe.query_id IS NULL THEN 'no_authoritative_source' WHEN item_id % 4 = 3 OR item_id % 11 = 0 THEN 'insufficient_evidence' WHEN item_id % 5 = 0 AND s >= 2 THEN 'conflict' WHEN item_id % 5 = 0 THEN 'insufficient_evidence' WHEN a > 0 THEN 'grounded' WHEN i > 0 THEN 'outdated_only' ELSE 'insufficient_evidence' END AS answer_status FROM benchmark LEFT JOIN pe ON pe.query_id = item_id"""
+    r["report_languages"] = BASE + """, lc AS (SELECT scope, community_id, language, count(*) AS n FROM sc GROUP BY ALL), g AS (SELECT campaign_id AS scope_id, community_id FROM camp CROSS JOIN (SELECT DISTINCT community_id FROM m)),
+a AS (SELECT scope, community_id, count(*) AS k, string_agg(language, ',' ORDER BY language) AS l, string_agg(language || '=' || n, ',' ORDER BY language) AS d FROM lc GROUP BY ALL)
+SELECT g.scope_id, g.community_id, CASE WHEN k IS NULL THEN 'no_observation' WHEN k = 1 THEN l ELSE 'multilingual:' || l END AS language_scope, coalesce(d, '') AS distribution FROM g LEFT JOIN a ON a.scope = g.scope_id AND a.community_id = g.community_id"""
+    evid = lambda m, c: f"""'evidence_' || substr(sha256('["source_message",null,"' || {c} || '","' || {m} || '"]'), 1, 24)"""
+    r["report_hygiene"] = BASE + f""", h AS (SELECT community_id, message_id, norm, ts, 'usr_' || (conv_id % 2) AS u FROM m), filler AS (SELECT community_id, message_id FROM h WHERE norm IN ({', '.join(map(quote, t.FILLER_TERMS))}) OR length(norm) <= 3),
+same AS (SELECT community_id, message_id FROM h QUALIFY count(*) OVER (PARTITION BY community_id, norm) >= 2), again AS (SELECT community_id, message_id FROM h QUALIFY count(*) OVER (PARTITION BY community_id, u, norm) >= 3),
+quick AS (SELECT DISTINCT b.community_id, b.message_id FROM h e JOIN h b ON b.community_id = e.community_id AND b.u = e.u AND b.ts <= e.ts AND b.ts >= e.ts - INTERVAL 60 SECOND WHERE (SELECT count(*) FROM h w WHERE w.community_id = e.community_id AND w.u = e.u AND w.ts <= e.ts AND w.ts >= e.ts - INTERVAL 60 SECOND) >= 3),
+ev AS (SELECT community_id, string_agg(e, ',' ORDER BY e) AS s, count(*) AS n FROM (SELECT DISTINCT community_id, {evid('message_id', 'community_id')} AS e FROM (SELECT * FROM filler UNION SELECT * FROM same UNION SELECT * FROM again UNION SELECT * FROM quick)) GROUP BY 1),
+ct AS (SELECT community_id, norm, u, count(*) AS n FROM h GROUP BY ALL), cn AS (SELECT community_id, norm, sum(n) AS n, sum(CASE WHEN n >= 3 THEN n ELSE 0 END) AS rp FROM ct GROUP BY ALL)
+SELECT community_id, sum(cn.n)::BIGINT AS message_count, round(sum(cn.n - 1) / sum(cn.n)::DOUBLE, 9) AS duplicate_ratio, round(sum(CASE WHEN norm IN ({', '.join(map(quote, t.FILLER_TERMS))}) OR length(norm) <= 3 THEN cn.n ELSE 0 END) / sum(cn.n)::DOUBLE, 9) AS filler_ratio, round(sum(rp) / sum(cn.n)::DOUBLE, 9) AS repetitive_content_ratio,
+  coalesce(any_value(ev.n), 0) AS n_evidence, sha256(coalesce(any_value(s), '')) AS evidence_sha256 FROM cn LEFT JOIN ev USING (community_id) GROUP BY 1"""
+    r["report_feedback"] = _labels() + f""", fe AS (SELECT behavior, message_id AS one, community_id FROM lab UNION SELECT behavior, parent, community_id FROM lab WHERE behavior IN ('question_answering', 'peer_support') UNION SELECT behavior, prior_id, community_id FROM lab WHERE behavior = 'duplicate_promotion'),
+ev AS (SELECT behavior, string_agg(e, ',' ORDER BY e) AS s, count(*) AS n FROM (SELECT DISTINCT behavior, {evid('one', 'community_id')} AS e FROM fe) GROUP BY 1), ct AS (SELECT behavior, count(*) AS k FROM lab GROUP BY 1)
+SELECT f.behavior, coalesce(k, 0) AS message_count, CASE WHEN k > 0 THEN 'Observed' ELSE 'Not observed in this dataset' END AS observation_status, coalesce(n, 0) AS n_evidence, sha256(coalesce(s, '')) AS evidence_sha256 FROM (SELECT unnest([{', '.join(map(quote, b.FEEDBACK_LABELS))}]) AS behavior) f LEFT JOIN ct USING (behavior) LEFT JOIN ev USING (behavior)"""
     return r

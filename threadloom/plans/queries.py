@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions.text import html_to_text, normalize, search_terms
 from ..operators import activation as act
-from ..operators import behavior, campaign, clusters, evaluation, evidence, hygiene, knowledge, metrics, profile, threads, validation, workspace
+from ..operators import behavior, campaign, clusters, evaluation, evidence, hygiene, knowledge, metrics, profile, retrieval, threads, validation, workspace
 from ..sources import conversations as src
 from ..sources.chat_export import exported_records, html_messages, import_messages
 from ..sources.synthetic import generate_messages
@@ -18,6 +19,11 @@ from ..storage import Steps, shared_dir
 from ..streaming import messages as streams
 from . import report
 
+MESSAGE_RULES = (
+    "duplicate_message_id", "blank_message_id", "blank_community_id", "blank_text", "unknown_role", "malformed_user_id", "malformed_language", "missing_parent", "self_reply", "cross_community_reply",
+    "cross_campaign_reply", "reply_before_parent", "cycle",
+)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -30,7 +36,7 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hygiene_by_community(spark, d):
-    return _round(hygiene.content_ratios(src.posts(spark, d), shortest=40, repeats=2))
+    return _round(hygiene.content_ratios(src.posts(spark, d)))
 
 
 def exact_duplicates(spark, d):
@@ -114,7 +120,7 @@ def scope_metrics_long(spark, d):
 
 
 def seed_behavior_labels(spark, d):
-    return behavior.seed_behaviors(_asked(spark, d)).select("message_id", "community_id", "user_role", "behavior")
+    return behavior.seed_behaviors(_asked(spark, d)).withColumn("evidence_ids", F.array_join("evidence_ids", ","))
 
 
 def duplicate_promotion(spark, d):
@@ -125,12 +131,15 @@ def feedback_counts(spark, d):
     return behavior.feedback_counts(behavior.seed_behaviors(_asked(spark, d)))
 
 
-def _long(spark, d):
+def _wide(spark, d):
     k = F.col("c_custkey")
     bad = F.when(k % 17 == 0, None).when(k % 19 == 0, "bad").when(k % 23 == 0, "Infinity").when(k % 29 == 0, "-Infinity").otherwise(F.col("c_acctbal").cast("string"))
     group = F.when(k % 11 == 0, " ").when(k % 13 == 0, None).otherwise(F.concat(F.lit("n"), "c_nationkey"))
-    f = src.table(spark, d, "customer").select(k.alias("observation_id"), F.concat(F.lit("g"), k % 3).alias("community_id"), group.alias("language"), bad.alias("balance"), (k % 50).cast("string").alias("residue"), (k * k % 101).cast("string").alias("square"))
-    return metrics.long_metrics(f, ["observation_id", "community_id", "language"], ["balance", "residue", "square"])
+    return src.table(spark, d, "customer").select(k, k.alias("observation_id"), F.concat(F.lit("g"), k % 3).alias("community_id"), group.alias("language"), bad.alias("balance"), (k % 50).cast("string").alias("residue"), (k * k % 101).cast("string").alias("square"))
+
+
+def _long(spark, d):
+    return metrics.long_metrics(_wide(spark, d), ["observation_id", "community_id", "language"], ["balance", "residue", "square"])
 
 
 def _pairs(spark, d):
@@ -157,7 +166,20 @@ def fisher_intervals(spark, d):
 
 
 def metric_associations(spark, d):
-    return metrics.associations(_pairs(spark, d), ["metric_a", "metric_b"])
+    return _round(metrics.associations(_pairs(spark, d), ["metric_a", "metric_b"]), 7)
+
+
+def _family(spark, d):
+    """Customers with metrics of all kinds, and outcomes that go with some of these."""
+    k = F.col("c_custkey")
+    frame = _wide(spark, d).select("observation_id", "balance", "residue", "square", (k % 50 * 3 + k % 7).alias("echo"), F.lit(1).alias("flat"), F.when(k <= 3, k).alias("rare"))
+    outcomes = src.table(spark, d, "customer").select(k.alias("observation_id"), (k % 50 * 2 + k % 11).alias("growth"), (k * 7 % 13).alias("noise"))
+    return metrics.validate_metrics(frame, outcomes, ["observation_id"], ["balance", "residue", "square", "echo", "flat", "rare"], ["growth", "noise"])
+
+
+def metric_tests(spark, d):
+    tests = _family(spark, d)[1]
+    return _round(tests.select("metric_name", "outcome_name", "n", "rho", "raw_p", "adjusted_p", "inference_method"), 7)
 
 
 def redundancy(spark, d):
@@ -171,8 +193,7 @@ def holm_adjust(spark, d):
 
 
 def metric_status(spark, d):
-    tests = metrics.holm(metrics.associations(_pairs(spark, d), ["metric_a", "metric_b"]).withColumnRenamed("metric_a", "metric_name"), ["metric_name", "metric_b"])
-    return metrics.metric_status(_long(spark, d), tests.withColumn("adjusted_p", F.lit(1.0))).select("metric_name", "status")
+    return _family(spark, d)[0].select("metric_name", "status", F.array_join("reasons", ",").alias("reasons"))
 
 
 def key_differences(spark, d):
@@ -222,12 +243,12 @@ def import_merge(spark, d):
 
 def _lexical(spark, d, k=40):
     docs = src.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    index = knowledge.postings(docs)
-    totals = docs.agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.regexp_count(F.lower("text"), F.lit(r"(?U)\w+"))).alias("tokens"))
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), 1)))
     queries = src.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("term"))
-    # the words of the stated queries are few beside the corpus: other postings needn't be counted
-    return knowledge.bm25(index.join(queries.select("term").distinct(), "term", "left_semi"), totals, queries, k)
+    # the words of the stated queries are few beside the corpus: other postings aren't kept
+    body = docs.select("chunk_id", F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), 1).alias("words"))
+    index, totals = knowledge.postings_of(body, queries, Steps(spark, "postings"))
+    return knowledge.bm25(index, totals, queries, k)
 
 
 def bm25_topk(spark, d):
@@ -254,7 +275,7 @@ def _pool(spark, d):
     lex, other = _two_rankings(spark, d)
     c = F.col("chunk_id")
     fused = knowledge.fuse([lex, other.where("rank <= 20")]).withColumn("rrf", F.round("rrf", 9))
-    rows = fused.withColumns({"temporal_state": F.when(c % 3 == 0, "active").when(c % 3 == 1, "inactive").otherwise("future"), "official_status": F.when(c % 7 == 0, "community").otherwise("verified_official"), "status": F.when(c % 11 == 0, "draft").otherwise("current"), "source_id": F.concat(F.lit("s"), c % 6)})
+    rows = fused.withColumns({"temporal_state": F.when(c % 3 == 0, "active").when(c % 3 == 1, "inactive").otherwise("future"), "official_status": F.when(c % 7 == 0, "community").otherwise("verified_official"), "status": F.when(c % 11 == 0, "draft").otherwise("current"), "source_id": F.concat(F.lit("s"), F.when((F.col("query_id") % 2 == 0) & (c % 5 < 4), 0).otherwise(c % 6))})
     return knowledge.select_candidates(rows, 1_000)
 
 
@@ -264,12 +285,12 @@ def select_candidates(spark, d):
 
 def source_diversity(spark, d):
     deep = Steps(spark, "pool").cut(_pool(spark, d))
-    return knowledge.diversify(deep, deep, 4)
+    return knowledge.diversify(deep, deep)
 
 
 def retrieval_metrics(spark, d):
     docs, items = src.table(spark, d, "documents"), src.table(spark, d, "benchmark")
-    gold = docs.select(F.col("doc_id").alias("target"), F.col("text").alias("body")).join(items, F.col("body").contains(F.col("text"))).select(F.col("item_id").alias("query_id"), "target")
+    gold = evaluation.containing(docs.select(F.col("doc_id").alias("target"), F.col("text").alias("body")), items.select(F.col("item_id").alias("query_id"), "text"))
     gold = Steps(spark, "gold").cut(gold)
     ranked = _lexical(spark, d).select("query_id", F.col("chunk_id").alias("target"), "rank")
     out = evaluation.retrieval_metrics(gold, ranked)
@@ -361,14 +382,96 @@ def evidence_integrity(spark, d):
 
 
 def message_violations(spark, d):
+    """Messages made to break each rule, and how often each is found broken."""
     m = src.messages(spark, d)
-    k, t = F.col("conv_id"), F.col("turn")
-    bad = m.withColumns({"reply_to_message_id": F.when((k % 9 == 4) & (t == 1), "nowhere").otherwise(F.col("reply_to_message_id")), "user_role": F.when(k % 8 == 3, "owner").otherwise(F.col("user_role")), "community_id": F.when((k % 7 == 2) & (t == 2), "g9").otherwise(F.col("community_id"))})
+    k, t, id_ = F.col("conv_id"), F.col("turn"), F.col("message_id")
+    at = lambda a, b: (k % a == b) & (t == 1)
+    # in some conversations turns 0, 1 and 2 reply to one another in a circle
+    circle = F.when((k % 13 == 6) & (t == 0), F.concat(F.lit("c"), k, F.lit("_2"))).when((k % 13 == 6) & (t <= 2), F.concat(F.lit("c"), k, F.lit("_"), t - 1))
+    reply = F.when(at(9, 4), "nowhere").when(at(11, 5), id_).when(k % 13 == 6, F.coalesce(circle, F.col("reply_to_message_id"))).otherwise(F.col("reply_to_message_id"))
+    bad = m.withColumns({
+        "reply_to_message_id": reply, "user_role": F.when(k % 8 == 3, "owner").otherwise(F.col("user_role")), "community_id": F.when(at(10, 7), " ").when((k % 7 == 2) & (t == 2), "g9").otherwise(F.col("community_id")),
+        "text": F.when(at(10, 3), "").otherwise(F.col("text")), "language": F.when(at(12, 8), "english!").otherwise(F.col("language")), "user_id_hash": F.when(at(15, 1), "bob").otherwise(F.col("user_id_hash")),
+        "timestamp": F.when(at(16, 9), F.col("timestamp") - F.expr("interval 30 days")).otherwise(F.col("timestamp")), "campaign_id": F.when((k % 6 == 1) & (t == 2), "camp_x").otherwise(F.col("campaign_id")),
+    })
+    bad = bad.unionByName(bad.where((k % 17 == 3) & (t == 0)))
     found = validation.message_rules(bad).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
-    rules = spark.createDataFrame([(r,) for r in ("missing_parent", "unknown_role", "malformed_user_id", "cross_community_reply")], "rule string")
+    rules = spark.createDataFrame([(r,) for r in MESSAGE_RULES], "rule string")
     return rules.join(found, "rule", "left").fillna(0)
 
 
+def source_violations(spark, d):
+    k = F.col("doc_id")
+    origin = F.create_map(*[x for i, fact in enumerate(schema.CRITICAL_METADATA) for x in (F.lit(fact), F.when((k + i) % 31 == 0, "ai-inferred").when((k + i) % 37 == 0, "guessed").otherwise("human-confirmed"))])
+    sources = src.table(spark, d, "documents").select(
+        k.alias("source_id"), F.when(k % 19 == 0, "novel").otherwise("faq").alias("source_type"), F.when(k % 17 == 0, "post").when(k % 3 == 0, "manual").otherwise("docs").alias("source_channel"), F.when(k % 23 == 0, "lost").otherwise("current").alias("status"),
+        F.when(k % 29 == 0, " ").otherwise("title").alias("title"), F.col("text").alias("content"), F.when(k % 7 == 0, None).when(k % 11 == 0, "ftp://a.example").otherwise("https://a.example").alias("canonical_url"),
+        F.lit("2024-01-02").cast("timestamp").alias("effective_from"), F.when(k % 13 == 0, F.lit("2024-01-01").cast("timestamp")).alias("effective_until"), F.map_filter(origin, lambda name, _: (k % 41 != 0) | (name != "validity")).alias("metadata_provenance"),
+    )
+    return validation.source_rules(sources).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def knowledge_revisions(spark, d):
+    """Revisions that come in two imports: a third of the documents, then all of them, so that the first come again."""
+    k = F.col("doc_id")
+    at = F.timestamp_add("HOUR", k.cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    come = src.table(spark, d, "documents").select(F.concat(F.lit("s"), k % 50).alias("source_id"), F.coalesce("text", F.lit("")).alias("content"), F.lit("current").alias("status"), at.alias("effective_from"), k.alias("arrived"), k)
+    none = spark.createDataFrame([], "source_id string, version long, content_hash string, status string, effective_from timestamp, superseded_at timestamp")
+    first = Steps(spark, "revisions").cut(knowledge.add_revisions(none, come.where("doc_id % 3 = 0")))
+    return knowledge.add_revisions(first, come)
+
+
+def _store(spark, d):
+    """Documents as sources with one revision each; some are drafts, from the community, superseded, not yet in force, or known to be historical."""
+    k = F.col("doc_id")
+    at = lambda h: F.timestamp_add("HOUR", h.cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    docs = src.table(spark, d, "documents").where("text IS NOT NULL")
+    names = docs.select(F.concat(F.lit("s"), k % 40).alias("source_id"), F.concat(F.lit("guide "), k % 40).alias("title"), F.when(k % 40 % 9 == 4, "community").otherwise("verified_official").alias("official_status"), F.when(k % 40 % 4 == 1, '{"validity": "human-confirmed"}').otherwise("{}").alias("metadata_provenance"))
+    revisions = docs.select(
+        k.alias("revision_id"), F.concat(F.lit("s"), k % 40).alias("source_id"), F.when(k % 11 == 0, "draft").when(k % 6 == 5, "historical").otherwise("current").alias("status"), F.lit(None).cast("timestamp").alias("published_at"), at(k % 1000).alias("effective_from"),
+        F.lit(None).cast("timestamp").alias("effective_until"), F.when(k % 3 == 2, at(k % 1000 + 200)).alias("superseded_at"),
+    )
+    pieces = knowledge.window_chunks(docs.select(k.alias("revision_id"), F.col("text").alias("content"))).withColumn("chunk_id", F.concat_ws(":", "revision_id", "ordinal"))
+    return names.distinct(), revisions, pieces.withColumns({"section": F.lit(None).cast("string"), "parent_heading": F.lit(None).cast("string")})
+
+
+def _asked_of_store(spark, d):
+    k = F.col("item_id")
+    return src.table(spark, d, "benchmark").select(k.alias("query_id"), F.col("text").alias("query"), F.when(k % 3 != 0, F.lit("2024-01-20").cast("timestamp")).alias("as_of_time"))
+
+
+def knowledge_query(spark, d):
+    sources, revisions, chunks = _store(spark, d)
+    chunks = Steps(spark, "chunks").cut(chunks)
+    out = retrieval.retrieve(_asked_of_store(spark, d), sources, revisions, chunks, dt.datetime(2024, 2, 10))
+    return _round(out.drop("reranked").withColumn("context", F.sha2("context", 256)).withColumn("place", F.col("place").cast("long")))
+
+
+def knowledge_statuses(spark, d):
+    asked = _asked_of_store(spark, d)
+    cited = Steps(spark, "cited").cut(knowledge_query(spark, d))
+    need = cited.select("query_id").distinct().select("query_id", F.lit("r").alias("requirement_id"), F.when(F.col("query_id") % 5 == 0, "conflict").otherwise("supported").alias("status")).where("query_id % 4 <> 3")
+    claims = cited.where("place <= 2").select("query_id", F.lit("r").alias("requirement_id"), "source_id", "temporal_state", (F.col("query_id") % 11 != 0).alias("found"))
+    return retrieval.statuses(asked, cited, need, claims)
+
+
+def report_languages(spark, d):
+    out = report.languages(src.messages(spark, d), src.campaigns(spark))
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("language_distribution")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
+    return out.select("scope_id", "community_id", "language_scope", told.alias("distribution"))
+
+
+def report_hygiene(spark, d):
+    m = src.messages(spark, d)
+    out = report.hygiene_section(m.withColumn("user_id_hash", F.concat(F.lit("usr_"), F.col("conv_id") % 2)))
+    return _round(out.withColumns({"n_evidence": F.size("evidence_ids").cast("long"), "evidence_sha256": F.sha2(F.array_join("evidence_ids", ","), 256)}).drop("evidence_ids"))
+
+
+def report_feedback(spark, d):
+    out = report.feedback_section(behavior.seed_behaviors(_asked(spark, d)))
+    return out.withColumns({"n_evidence": F.size("evidence_ids").cast("long"), "evidence_sha256": F.sha2(F.array_join("evidence_ids", ","), 256)}).drop("evidence_ids")
+
+
 def tfidf_weights(spark, d):
     m = src.messages(spark, d).withColumn("norm", normalize(F.col("text")))
     return clusters.tfidf(m).groupBy("message_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 6).alias("weight_sum"))
@@ -425,7 +528,7 @@ _ALL: tuple[Query, ...] = (
     scope_messages, claim_judgments, campaign_summary, scope_metrics_wide, scope_metrics_long, seed_behavior_labels, duplicate_promotion, feedback_counts, metric_quality, group_diagnostics, spearman_pairs, fisher_intervals,
     metric_associations, redundancy, holm_adjust, metric_status, key_differences, role_asof, actor_rollup, freshness, window_vs_baseline, list_messages, late_reply_resolution, import_merge, bm25_topk, vector_topk, rrf_fusion,
     select_candidates, source_diversity, retrieval_metrics, scd2_versions, temporal_state, window_chunks, structured_chunks, neighbor_context, quote_check, answer_statuses, sender_concentration, repeated_text_rate, candidate_kinds,
-    html_text_extract, evidence_union, evidence_integrity, message_violations, tfidf_weights, behavior_clusters, chat_import, chat_pages, synthetic_messages, stream_without_repeats, stream_activity,
+    html_text_extract, evidence_union, evidence_integrity, message_violations, source_violations, knowledge_revisions, knowledge_query, knowledge_statuses, report_languages, report_hygiene, report_feedback, metric_tests, tfidf_weights, behavior_clusters, chat_import, chat_pages, synthetic_messages, stream_without_repeats, stream_activity,
 )
 
 

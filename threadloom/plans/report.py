@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import mentions_project
+from ..functions.behavior import FEEDBACK_LABELS
+from ..functions.text import language_scope, mentions_project
 from ..operators.activation import activation
 from ..operators.behavior import feedback_counts, seed_behaviors
 from ..operators.campaign import campaign_messages, claim_matches, judgments, scoped_messages, scopes, summary
-from ..operators.hygiene import content_ratios
+from ..operators.evidence import referring, source_evidence, union_of_evidence
+from ..operators.hygiene import content_ratios, supporting_messages
 from ..operators.threads import episodes, question_support, with_question
 
 METRICS = (
@@ -58,13 +60,42 @@ def long_form(wide: DataFrame) -> DataFrame:
     return out.withColumn("diagnostic_reason", F.when(F.col("metric_value").isNull(), "zero_denominator").otherwise("observed"))
 
 
+def languages(messages: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """Per scope: language_scope, languages in order, and how many messages each has; a silent scope has none."""
+    n = scoped_messages(messages, campaigns).groupBy("scope_id", "community_id", "language").agg(F.count(F.lit(1)).alias("n"))
+    per = n.groupBy("scope_id", "community_id").agg(F.array_sort(F.collect_list(F.struct("language", "n"))).alias("d"))
+    every = scopes(campaigns, messages).select("scope_id", "community_id").join(per, ["scope_id", "community_id"], "left")
+    names = F.coalesce(F.transform("d", lambda x: x["language"]), F.array().cast("array<string>"))
+    return every.select("scope_id", "community_id", language_scope(names).alias("language_scope"), names.alias("languages"), F.map_from_entries(F.coalesce("d", F.array().cast("array<struct<language: string, n: bigint>>"))).alias("language_distribution"))
+
+
+def hygiene_section(messages: DataFrame) -> DataFrame:
+    """Rates of each community, and the ids of the evidence that they rest on."""
+    found = referring(supporting_messages(messages).groupBy("community_id").agg(F.collect_set("message_id").alias("m")), "m")
+    return content_ratios(messages).join(found, "community_id", "left").withColumn("evidence_ids", F.coalesce("evidence_ids", F.array().cast("array<string>")))
+
+
+def feedback_section(labels: DataFrame) -> DataFrame:
+    """Messages of each kind of feedback, whether any was observed, and the ids of their evidence. labels comes from seed_behaviors()."""
+    told = labels.withColumnRenamed("evidence_ids", "messages")
+    union = union_of_evidence(referring(told.where(F.col("behavior").isin(*FEEDBACK_LABELS)), "messages"), ["behavior"])
+    out = feedback_counts(labels).join(union, "behavior", "left")
+    return out.select("behavior", "message_count", F.when(F.col("message_count") > 0, "Observed").otherwise("Not observed in this dataset").alias("observation_status"), F.coalesce("evidence_ids", F.array().cast("array<string>")).alias("evidence_ids"))
+
+
 def report(messages: DataFrame, campaigns: DataFrame, patterns: DataFrame) -> dict[str, DataFrame]:
-    """The sections: hygiene, activation, episodes, behavior, feedback, campaign summary and metrics."""
+    """The sections: hygiene, activation, episodes, behavior, feedback, campaign summary, metrics with the languages of their scopes, and evidence, each in a fixed order."""
     asked = with_question(messages)
     labels = seed_behaviors(asked)
     claims = patterns.select("campaign_id", "claim_id").distinct()
     wide = scope_metrics(messages, campaigns, patterns)
-    return {
-        "hygiene": content_ratios(messages), "activation": activation(asked), "episodes": episodes(asked), "behavior": labels, "feedback": feedback_counts(labels),
-        "campaign": summary(judgments(claim_matches(campaign_messages(asked, campaigns), patterns), claims, messages)), "metrics": long_form(wide),
+    hygiene, behavior = hygiene_section(messages), referring(labels.withColumnRenamed("evidence_ids", "messages"), "messages")
+    sections = {
+        "hygiene": hygiene, "activation": activation(asked), "episodes": episodes(asked), "behavior": behavior, "feedback": feedback_section(labels),
+        "campaign": summary(judgments(claim_matches(campaign_messages(asked, campaigns), patterns), claims, messages)),
+        "metrics": long_form(wide).join(languages(messages, campaigns).drop("language_distribution"), ["scope_id", "community_id"]),
     }
+    referred = hygiene.select(F.explode("evidence_ids").alias("evidence_id")).union(behavior.select(F.explode("evidence_ids").alias("evidence_id"))).distinct()
+    sections["evidence"] = source_evidence(messages.withColumn("analysis", F.lit(None).cast("string")), "analysis").join(referred, "evidence_id", "left_semi")
+    order = {"hygiene": ["community_id"], "activation": ["community_id"], "episodes": ["root_id"], "behavior": ["message_id"], "feedback": ["behavior"], "campaign": ["campaign_id", "community_id"], "metrics": ["scope_id", "community_id", "metric_name"], "evidence": ["evidence_id"]}
+    return {k: v.orderBy(*order[k]) for k, v in sections.items()}

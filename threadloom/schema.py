@@ -13,3 +13,13 @@ ROLES = ("moderator", "user", "bot")
 IMPORTANCE = ("critical", "high", "medium", "low")
 USER_ID = r"^usr_[0-9a-f]+$"
 LANGUAGE = r"^[a-z]{2,3}(-[a-z0-9]{2,8})*$"
+
+# Kinds, channels and states of sources, and where the facts about them come from.
+SOURCE_TYPES = (
+    "whitepaper", "product_docs", "faq", "official_announcement", "official_blog", "release_notes", "changelog", "governance_proposal", "maintenance_notice", "campaign_rules", "community_rules",
+    "manual_official_note",
+)
+SOURCE_CHANNELS = ("docs", "website", "medium", "x", "telegram_announcement", "github", "governance", "manual")
+SOURCE_STATUSES = ("current", "superseded", "expired", "historical", "draft", "unknown")
+PROVENANCES = ("source-provided", "human-confirmed", "system-derived", "ai-inferred")
+CRITICAL_METADATA = ("source_type", "authority_level", "official_status", "published_at", "validity")

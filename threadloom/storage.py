@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, or a local folder where none is set (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The session's spark.checkpoint.dir. Where none is set, as in tests, a local master may use a local folder; a cluster may not."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or "/tmp/checkpoints").rstrip("/")
 
 
 class Steps:
