@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +16,19 @@ from pyspark.sql import functions as F
 #: Names of a row's identity: a hash of its file's path, and its place in that file.
 ROW_FILE, ROW_INDEX = "__row_file", "__row_index"
 
+#: Edges that one task joins to components.
+FEW_EDGES = 200_000
+
 #: While a table is written: shuffle files go when the step ends, and Python workers get few texts at a time, whatever their length.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's, or a local one where none is set (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share: the session's. Where none is set, as in tests, a local master may use a local folder; a cluster may not."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or "/tmp/checkpoints").rstrip("/")
 
 
 class Workspace:
@@ -104,13 +113,35 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges (a, b) of one task."""
+    ends = [np.zeros((2, 0), np.int64), *(np.stack([np.asarray(b.column(c)) for c in ("a", "b")]) for b in batches)]
+    nodes, at = np.unique(np.concatenate(ends, 1), return_inverse=True)
+    u, v = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[u], label[v])
+        new = label.copy()
+        for end in (u, v, label[u], label[v]):
+            np.minimum.at(new, end, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
+
+
 def connected_components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), for each node that has an edge.
 
-    Labels fall to the smallest among the neighbours, then jump to their label's label; each round is
-    written to the shared folder, and the number of rounds grows with the logarithm of a path's length.
+    The edges are written and counted. FEW_EDGES at most (16 bytes each) are joined by one task, without a shuffle. Beyond that labels fall to the smallest among
+    the neighbours, then jump to their label's label; each round is written to the shared folder, and the number of rounds grows
+    with the logarithm of a path's length.
     """
-    both = ws.write(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}_edges")
+    edges = ws.write(edges.select("a", "b"), f"{name}_few")
+    if edges.count() <= FEW_EDGES:
+        return ws.write(edges.coalesce(1).mapInArrow(_labels, "node long, component long"), f"{name}_labels")
+    both = ws.write(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}_edges")
     labels = ws.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")), f"{name}_0")
     k = 0
     while True:

@@ -400,15 +400,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     own = F.min(F.struct(*_ID))
     classes = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), own.alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
     numbered = ws.write(classes.withColumn("node", F.monotonically_increasing_id()), "numbered")
-    classes = ws.write(numbered.drop("prefix"), "classes")
-    rows = ws.write(signed.drop("prefix", "sketch"), "rows")
-    ws.drop("signed")
+    classes, rows = numbered.drop("prefix"), signed.drop("prefix", "sketch")
 
     # shingles of prefixes: what stands in one set only links nothing
     tokens = numbered.select("node", F.explode("prefix").alias("mark"))
     counts = ws.write(tokens.groupBy("mark").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
     shared = ws.write(tokens.hint("merge").join(counts, "mark"), "shared")
-    ws.drop("counts", "numbered")
+    ws.drop("counts")
     rare = shared.where(F.col("df") <= RARE).select("mark", "node")
     frequent = shared.where(F.col("df") > RARE).groupBy("node").agg(F.collect_list("mark").alias("tokens"))
     sizes = classes.select("node", "n", "sketch")
