@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import ROW_FILE, ROW_INDEX, Workspace, located_docs, stored, union_all
 from .words import ALNUM, Words, chunked_words, words_of
 
 #: Words of a test window, and test windows looked up in one pass; a larger benchmark takes more passes.
@@ -20,13 +22,14 @@ MATCH = "array<struct<item_id: string, item_word: int, word: int, length: int>>"
 
 @dataclass
 class Tests:
-    """A block of test windows: rows of word hashes (0 beyond a short window's end), with item, offset and length."""
+    """A block of test windows: rows of word hashes (0 beyond a short window's end), with item, offset and length; ids and words of the items."""
 
     words: np.ndarray
     item: np.ndarray
     offset: np.ndarray
     length: np.ndarray
     ids: list[str]
+    spelled: list[list[bytes]]
 
     def __post_init__(self):
         self.order = np.argsort(self.words[:, 0], kind="stable")
@@ -37,29 +40,41 @@ class Tests:
 
 
 def test_blocks(items: Iterable[tuple[str, str | None]], window: int, block: int) -> Iterator[Tests]:
-    """Blocks of the windows of the test items (id, text): every run of `window` words, or a shorter text's all words."""
+    """Blocks of the windows of the test items (id, text): every run of `window` words, or a shorter text's all words. One block is made at a time."""
     rows: list[tuple[np.ndarray, int, int]] = []
     ids: list[str] = []
+    spelled: list[list[bytes]] = []
 
     def made() -> Tests:
         out = np.zeros((len(rows), window), np.uint64)
         for i, (w, _, _) in enumerate(rows):
             out[i, : len(w)] = w
-        return Tests(out, *(np.array(x, np.int64) for x in ([r[1] for r in rows], [r[2] for r in rows], [len(r[0]) for r in rows])), ids)
+        return Tests(out, *(np.array(x, np.int64) for x in ([r[1] for r in rows], [r[2] for r in rows], [len(r[0]) for r in rows])), ids, spelled)
 
     for name, text in items:
         ids.append(name)
         data = np.frombuffer((text or "").encode(), np.uint8)
-        w = words_of(data, np.array([0, len(data)]), ALNUM, 0, 1).hashes
+        found = words_of(data, np.array([0, len(data)]), ALNUM, 0, 1)
+        w = found.hashes
+        spelled.append(_spelled(found, 0, len(w)))
         for i in range(max(len(w) - window, 0) + 1 if len(w) else 0):
             rows.append((w[i : i + window], len(ids) - 1, i))
             if len(rows) == block:
                 yield made()
-                rows, ids = [], [name]
+                rows, ids, spelled = [], [name], spelled[-1:]
     if rows:
         yield made()
 
 
+def _spelled(words: Words, first: int, last: int) -> list[bytes]:
+    """The bytes of some words, as they count."""
+    if first == last:
+        return []
+    begin = int(words.at[first])
+    data = words.data[begin : int(words.to[last - 1])].tobytes()
+    return [data[a:b] for a, b in zip((words.at[first:last] - begin).tolist(), (words.to[first:last] - begin).tolist(), strict=True)]
+
+
 def suffix_array(words: Words, starts: np.ndarray, depth: int) -> np.ndarray:
     """starts in the order of the suffixes there, compared word by word up to depth or the text's end."""
     end = words.bounds[1:][np.searchsorted(words.bounds[1:], starts, "right")]
@@ -130,8 +145,20 @@ def search(words: Words, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
 
 
 def longest(words: Words, tests: Tests) -> tuple[np.ndarray, ...]:
-    """(text, item, item's word, text's word, length) of the longest verbatim matches, in this order."""
+    """(text, item, item's word, text's word, length) of the longest verbatim matches, in this order. Their words are compared byte by byte."""
     q, at = search(words, tests)
+    found = _chained(words, tests, q, at)
+    same = lambda i, o, w, n: _spelled(words, w, w + n) == tests.spelled[i][o : o + n]
+    places = words.bounds[found[0]] + found[3]
+    if all(same(*x) for x in zip(found[1].tolist(), found[2].tolist(), places.tolist(), found[4].tolist(), strict=True)):
+        return found
+    # some words differ and have one hash: windows are compared one by one
+    true = np.array([same(*x) for x in zip(tests.item[q].tolist(), tests.offset[q].tolist(), at.tolist(), tests.length[q].tolist(), strict=True)], bool)
+    return _chained(words, tests, q[true], at[true])
+
+
+def _chained(words: Words, tests: Tests, q: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """longest() of windows q at words `at`: those that follow one another in text and item are one match."""
     text = np.searchsorted(words.bounds[1:], at, "right")
     word, item, offset, length = at - words.bounds[text], tests.item[q], tests.offset[q], tests.length[q]
     order = np.lexsort((word, word - offset, item, text))
@@ -186,14 +213,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     words or more. item_ids are distinct and sorted as strings;
     a null id counts as ''. Nulls and texts without words
     have no match; repeated rows and items count each for itself. The benchmark is a stated query set: it is read in
-    blocks of block_windows, each looked up in every shard, so it may have any size. No row moves between executors.
+    blocks of block_windows (some 10 MB), two of which the driver holds at most, so it may have any size. Where one block has
+    it all, no row moves between executors. Else each block takes one pass over the texts, which leaves a table of the matches; these few
+    join the texts at the end. A column of docs that has one of the names is replaced; __row_file and __row_index are reserved.
     """
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), item_text_col).toLocalIterator(prefetchPartitions=True)
-    blocks = list(test_blocks(items, window, block_windows)) or [None]
-    temps = [f"__matches_{k}" for k in range(len(blocks))]
-    out = docs.withColumns({t: _finder(b)(F.col(f"`{text_col}`")) for t, b in zip(temps, blocks, strict=True)})
+    blocks = test_blocks(items, window, block_windows)
+    first, second = next(blocks, None), next(blocks, None)
     n_words, n_hit, item_ids, matches, contaminated = names
-    out = out.withColumns({n_words: F.col(temps[0]).n_words.cast("long"), matches: F.flatten(F.array(*[F.col(t).matches for t in temps]))}).drop(*temps)
+    text, temp = F.col(f"`{text_col}`"), "__matches"
+    if second is None:
+        out = docs.withColumn(temp, _finder(first)(text))
+        out = out.withColumns({n_words: F.col(temp).n_words.cast("long"), matches: F.col(temp).matches}).drop(temp)
+    else:
+        ws = Workspace(docs.sparkSession, "decontaminate")
+        docs, tables = stored(docs, ws), []
+        for k, block in enumerate(chain([first, second], blocks)):
+            hit = located_docs(docs, ws).select(ROW_FILE, ROW_INDEX, _finder(block)(text).matches.alias("m")).where(F.size("m") > 0)
+            tables.append(ws.write(hit, f"block_{k}"))
+        every = ws.write(union_all(tables).groupBy(ROW_FILE, ROW_INDEX).agg(F.flatten(F.collect_list("m")).alias(temp)), "matches")
+        ws.drop(*[f"block_{k}" for k in range(len(tables))])
+        out = located_docs(docs, ws).hint("merge").join(every, [ROW_FILE, ROW_INDEX], "left").drop(ROW_FILE, ROW_INDEX)
+        out = out.withColumns({n_words: _finder(None)(text).n_words.cast("long"), matches: F.coalesce(temp, F.array().cast(MATCH))}).drop(temp)
     # the ids of a hit only: most rows have none
     found = F.when(F.size(matches) > 0, F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["item_id"])))).otherwise(F.array().cast("array<string>"))
     out = out.withColumns({n_hit: _union_length(F.col(f"`{matches}`")).cast("long"), item_ids: found})
