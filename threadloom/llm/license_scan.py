@@ -28,7 +28,7 @@ TEMPLATES = {
     "All-rights-reserved": "All rights reserved.",
     "Proprietary": "All rights reserved. No part of this work may be reproduced without written permission.",
 }
-#: What makes a line a candidate; every stem occurs in some template, and the scan for them reads whole texts.
+#: What makes a place a candidate, besides words of the templates themselves (see Scanner); the scan for them reads whole texts.
 TRIGGER = re.compile(r"licen[cs]|copyright|all\s+rights\s+reserved|permission|redistribut|public\s+domain|cc[\s-]by|cc0|\bmit\b|\bgpl|apache|mozilla|creative\s+commons", re.IGNORECASE)
 
 FOUND = "array<struct<line: int, first_word: int, license: string, gain: double, differences: int, confirmed: boolean>>"
@@ -59,6 +59,10 @@ class Scanner:
         self.own = {k: max(1, len(self.bare.compress(d)) - len(self.packers[k].compress(d))) for k, w in self.words.items() for d in [" ".join(w).encode()]}
         self.reach = {k: len(w) + int(self.slack * len(w)) for k, w in self.words.items()}
         self.longest = max(self.reach.values(), default=0)
+        # of each template one word more than a confirmed place may lack, so none is missed, whatever the templates
+        own = {x for w in self.words.values() for x in sorted(set(w), key=lambda x: (not TRIGGER.search(x), -len(x), x))[: int(self.slack * len(w)) + 1]}
+        part = "[0-9a-z\u0080-\U0010ffff]"
+        self.trigger = re.compile("|".join([TRIGGER.pattern, *(f"(?<!{part}){re.escape(x)}(?!{part})" for x in sorted(own))]), re.IGNORECASE)
 
     def __getstate__(self):
         return {"templates": self.templates, "gain": self.gain, "slack": self.slack, "level": self.level}
@@ -104,7 +108,7 @@ class Scanner:
     def scan(self, text: str | None) -> list[dict]:
         """Every confirmed template, once for each place; around a trigger outside of these the nearest of the others."""
         text = text or ""
-        triggers = [(m.start(), m.end()) for m in TRIGGER.finditer(text)]
+        triggers = [(m.start(), m.end()) for m in self.trigger.finditer(text)]
         if not triggers:
             return []
         # lower() may change a text's length, so places are those of the text as it is
@@ -141,7 +145,8 @@ class Scanner:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str = "text", name: str = "licenses", **limits: float) -> DataFrame:
     """docs and, for each text, the places that a template helps to compress by limits' gain at least: the line and word where it starts, the template, the share saved, the words that differ, and whether these are few enough to confirm it.
 
-    Around every trigger of the whole text, words as far as a template is long are compared with it, across line ends; all confirmed templates count. A null or empty text has none. No row moves.
+    Around every trigger of the whole text, words as far as a template is long are compared with it, across line ends; all confirmed templates count. Triggers are TRIGGER and, of each template, one word more than a confirmed place may lack. A null or empty text has none. No row moves.
+    A column of docs that has the name is replaced.
     """
     scanner = Scanner(templates or TEMPLATES, **limits)
 
