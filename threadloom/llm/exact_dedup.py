@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import ROW_FILE, ROW_INDEX, Workspace, lower_ascii, stored, text_rows, without_rows
 
+#: Files of digests that a micro-batch takes at most; each has what one task wrote.
+FILES_PER_TRIGGER = 1000
+
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -57,13 +60,13 @@ def stream_state(arrivals: DataFrame, ws: Workspace, files_per_trigger: int | No
     return last.select("digest", "s.n", "s.keeper")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] | None = None, files_per_trigger: int | None = None) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] | None = None, files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
     """One row for each row of docs: its identity, doc_id, digest, keep_id, group_size, kept.
 
     Texts are equal when identical after lower-casing A-Z; a null counts as empty. Of equal texts the row with
     the largest doc_id stays (a null id is the smallest; of repeated ids the row that is stored last), so exactly one
     row of a group has kept. Members of a group by digest are compared in full: where texts with one digest differ,
-    they are grouped anew by their text. An empty table gives no rows.
+    they are grouped anew by their text. Rows stream in micro-batches of files_per_trigger files at most. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "exact_dedup")
