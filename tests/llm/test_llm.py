@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.llm import boosting, exact_dedup, labels, license_scan, line_dedup, near_dedup, quality, segmentation, sharding, substring_dedup, toxicity, words
+from threadloom.llm import boosting, common, exact_dedup, labels, license_scan, line_dedup, near_dedup, quality, segmentation, sharding, substring_dedup, toxicity, words
 from threadloom.llm.common import Workspace, connected_components
 from threadloom.llm.decontaminate import find_contamination, remove_contaminated
 
@@ -119,6 +119,24 @@ def test_contamination(spark, block):
     assert remove_contaminated(frame(spark, texts), b.limit(0)).count() == len(texts)
 
 
+def test_contamination_compares_words(monkeypatch):
+    """Words of one hash that differ are no match."""
+    from threadloom.llm import decontaminate
+
+    def weak(data, starts, ends):
+        return np.array([len(data[a:b]) + 1 for a, b in zip(starts, ends, strict=True)], np.uint64)
+
+    monkeypatch.setattr(words, "bytes_hash", weak)
+    items = [("x", "ab cd ef gh ij"), ("y", "kl mn")]
+    texts = ["zz ab cd ef gh ij", "ab cd ef gh xx kl mn", "aa bb cc dd ee", None, ""]
+    tests = next(decontaminate.test_blocks(items, 3, 100))
+    found = []
+    for w in words.chunked_words(pa.array(texts), words.ALNUM):
+        text, item, offset, word, length = decontaminate.longest(w, tests)
+        found += [(int(t) + w.first, tests.ids[i], int(o), int(p), int(n)) for t, i, o, p, n in zip(text, item, offset, word, length, strict=True)]
+    assert sorted(found) == [(0, "x", 0, 1, 5), (1, "x", 0, 0, 4), (1, "y", 0, 5, 2)]
+
+
 def brute_near(texts, k, percent):
     sets = []
     for t in texts:
@@ -152,6 +170,7 @@ def near_corpus():
 def test_near(spark, monkeypatch, k, percent, rare, block):
     monkeypatch.setattr(near_dedup, "RARE", rare)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(common, "FEW_EDGES", 0 if block == 16 else 200_000)
     texts = near_corpus()
     assert rows(near_dedup.near_duplicates(frame(spark, texts), k, percent), "n_shingles", "component_id") == brute_near(texts, k, percent)
 
@@ -225,7 +244,9 @@ def test_forest_spans():
     assert parts(every) == parts(some) and len(some) == len({*a, *b}) - parts(every)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
     e = [(i, i + 1) for i in range(60) if i not in (20, 40)] + [(100, 7), (200, 300)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(e, "a long, b long"), Workspace(spark, "t"), "cc").collect()}
     assert got[20] == 0 and got[100] == 0 and got[40] == 21 and got[60] == 41 and got[300] == 200
@@ -467,6 +488,36 @@ def test_licenses(spark):
     assert loose[1][0] == ["Apache-2.0"]
 
 
+def test_licenses_against_brute_force():
+    """Texts in which templates, some of the caller's own, stand with few or many words changed, across lines and in prose."""
+    own = {"fox": "quick brown foxes jump over seven lazy dogs and two sleepy cats near the old river bank today", "short": "tiny grant", "BSD-3-Clause": license_scan.TEMPLATES["BSD-3-Clause"], "Apache-2.0": license_scan.TEMPLATES["Apache-2.0"]}
+    scanner, rng = license_scan.Scanner(own), np.random.default_rng(7)
+
+    def nearest(want, have):
+        row = [0] * (len(have) + 1)
+        for i, w in enumerate(want, 1):
+            last, row = row, [i]
+            for j, x in enumerate(have, 1):
+                row.append(min(last[j - 1] + (w != x), last[j] + 1, row[j - 1] + 1))
+        return min(row)
+
+    seen = set()
+    for _ in range(150):
+        parts = []
+        for name in rng.choice(list(own), int(rng.integers(0, 3)), replace=False):
+            w = own[name].split()
+            for i in rng.choice(len(w), int(rng.integers(0, min(4, len(w)))), replace=False):
+                w[i] = "changed"
+            parts += [" ".join(rng.choice(VOCAB, 25)), ("\n" if rng.random() < 0.5 else " ").join(w)]
+        text = " ".join([*parts, *rng.choice(VOCAB, 20)])
+        have = license_scan.words(text)
+        want = {k for k, t in own.items() if nearest(license_scan.words(t), have) <= scanner.slack * len(license_scan.words(t))}
+        found = scanner.scan(text)
+        assert {r["license"] for r in found if r["confirmed"]} == want, text
+        seen |= want
+    assert seen == set(own)
+
+
 def test_words_match_plain_splitting():
     texts = ["a  b\tc", "", None, "É é\x0bz", "  lead", "x" * 10]
     out = []

@@ -109,7 +109,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
 
 
 def score_quality(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", name: str = "quality") -> DataFrame:
-    """docs and the score, 0 to 1, by column expressions alone; a null scores as an empty text."""
+    """docs and the score, 0 to 1, by column expressions alone; a null scores as an empty text. A column of docs that has the name is replaced."""
     temps = {k: f"__quality_{k}" for k in STATISTICS}
     stats = statistics(F.col(f"`{text_col}`"))
     out = docs.withColumns({temps[k]: stats[k].cast("double") for k in STATISTICS})

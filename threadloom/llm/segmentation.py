@@ -292,7 +292,7 @@ def encode_pieces(docs: DataFrame, sampler: Sampler | None = None, id_col: str =
 
     The sample is drawn by forward filtering and backward sampling, from a seed that depends on the row's id and the sampler's seed, so it is
     the same wherever and whenever the row is encoded; rows with one id and text are encoded alike, and null ids share a key. A null text has
-    null ids, an empty text none. decode_pieces() gives back every text exactly.
+    null ids, an empty text none. decode_pieces() gives back every text exactly. A column of docs that has the name is replaced.
     """
     sampler = sampler or Sampler()
 
@@ -329,7 +329,7 @@ def _lossless(texts: pa.Array, lists: pa.ListArray, sampler: Sampler) -> np.ndar
 
 
 def decode_pieces(docs: DataFrame, sampler: Sampler | None = None, ids_col: str = "piece_ids", name: str = "decoded") -> DataFrame:
-    """docs and the text of the ids; null ids give null."""
+    """docs and the text of the ids; null ids give null. A column of docs that has the name is replaced."""
     sampler = sampler or Sampler()
 
     @F.arrow_udf("string")

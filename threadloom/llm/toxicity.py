@@ -282,7 +282,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "toxicity") -> DataFrame:
-    """docs and the score; no row moves."""
+    """docs and the score; no row moves. A column of docs that has the name is replaced."""
     return docs.withColumn(name, model.column(F.col(f"`{text_col}`").cast("string")))
 
 
