@@ -1,4 +1,5 @@
 import datetime as dt
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -176,12 +177,17 @@ def test_imports_in_either_order(spark):
         assert got(workspace.resolve_late_replies(both).where("message_id = 'b'"), "reply_to_message_id") == [("a",)]
 
 
-def test_chunks():
-    text_ = "# One\n\nWhat is it?\n\nThis.\n\n## Two\n\n[Page 3] " + " ".join(map(str, range(400)))
-    c = knowledge.split_chunks(text_, True)
-    assert [(x["section"], x["parent_heading"]) for x in c[:2]] == [("One", "One"), ("Two", "One > Two")]
-    assert c[0]["text"] == "What is it?\n\nThis." and c[1]["page"] == 3 and [x["token_count"] for x in c[1:]] == [180, 180, 102]
-    assert knowledge.split_chunks("", False)[0]["text"] == ""
+def test_chunks(spark):
+    body = "# One\n\nWhat is it?\n\nThis.\n\n## Two\n\n[Page 3] " + " ".join(map(str, range(400))) + "\n\n### Three\n\nx\n\n## Four\n\nA what?\n\nB what?\n\nC what?\n\nanswer\n\nD what?\n\n# One\n\ny"
+    rows = [(1, "faq", body), (2, "faq", ""), (3, "whitepaper", "Why?\n\n \n\nfor this\n"), (4, "faq", "# Only a head"), (5, None, None)]
+    c = defaultdict(list)
+    for r in knowledge.chunk(spark.createDataFrame(rows, "revision_id int, source_type string, content string")).orderBy("revision_id", "ordinal").collect():
+        c[r.revision_id].append(r)
+    assert [(x["section"], x["parent_heading"]) for x in c[1][:2]] == [("One", "One"), ("Two", "One > Two")] and [x.ordinal for x in c[1]] == list(range(len(c[1])))
+    assert c[1][0]["text"] == "What is it?\n\nThis." and c[1][1]["page"] == 3 and [x["token_count"] for x in c[1][1:4]] == [180, 180, 102]
+    # of three questions in a row the second is the first one's answer; the last has none
+    assert [(x.parent_heading, x.text) for x in c[1][4:]] == [("One > Two > Three", "x"), ("One > Four", "A what?\n\nB what?"), ("One > Four", "C what?\n\nanswer"), ("One > Four", "D what?"), ("One", "y")]
+    assert [(x.text, x.token_count, x.section) for x in c[2]] == [("", 0, None)] and [x.text for x in c[3]] == ["Why?", "for this"] and [(x.text, x.section) for x in c[4]] == [("# Only a head", "Only a head")] and [x.text for x in c[5]] == [""]
 
 
 def test_temporal_and_policy(spark):

@@ -1,11 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from threadloom.sources import dataset
-from threadloom.sources.chat_export import exported_records, html_messages, import_counts, import_identities, import_messages
+from threadloom.sources.chat_export import exported_records, html_messages, import_counts, import_identities, import_messages, import_problems
 from threadloom.sources.documents import read_documents
-from threadloom.sources.synthetic import LEAST, allocation, generate_messages
+from threadloom.sources.synthetic import LEAST, allocation, generate_dataset, generate_messages
 
 EXPORT = {"id": 1, "name": "n", "type": "t", "messages": [
     {"id": 1, "type": "service", "date_unixtime": "1700000000"}, {"id": 2, "type": "message", "date_unixtime": "1700000001", "from": "Ann", "from_id": "u1", "text": ["Hello ", {"type": "bold", "text": "world"}]},
@@ -14,7 +15,7 @@ EXPORT = {"id": 1, "name": "n", "type": "t", "messages": [
 
 
 def test_chat_export(spark):
-    records = exported_records(spark.createDataFrame([(0, json.dumps(EXPORT))], "export int, value string")).localCheckpoint()
+    records = exported_records(spark.createDataFrame([(0, json.dumps(EXPORT))], "export int, value string"))
     m = import_messages(records, "c1", "en")
     rows = {r.text: r for r in m.collect()}
     assert set(rows) == {"Hello world", "plain", "late"} and rows["plain"].reply_to_message_id == rows["Hello world"].message_id
@@ -64,3 +65,34 @@ def test_documents(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"\xff\xfe bytes that are not text at all")
     out = {r.path.rsplit("/")[-1]: (r.content, r.problem) for r in read_documents(spark, str(tmp_path)).collect()}
     assert out["a.md"] == ("# A title\n\nSome text that is long enough", None) and out["b.txt"][1] == "too_short" and out["c.txt"][1] == "not_utf8"
+
+
+def test_published_datasets(spark, tmp_path):
+    made = generate_dataset(spark, 3, 60)
+    assert (made.claims.count(), made.outcomes.count(), made.annotations.count(), made.campaigns.count()) == (7, 12, 60, 3) and made.violations().count() == 0
+    assert made.annotations.where("expected_question_status = 'answered'").count() == 12 and made.annotations.where("size(expected_behaviors) <> 1").count() == 0
+    path = str(tmp_path / "d")
+    dataset.write_dataset(made, path)
+    assert dataset.read_dataset(spark, path).messages.count() == 60 and not [p for p in tmp_path.iterdir() if "staging" in p.name]
+    with pytest.raises(FileExistsError):
+        dataset.write_dataset(made, path)
+    # a changed table isn't read; one that doesn't fit its manifest isn't published
+    changed = dataset.Dataset(**{n: getattr(made, n) for n in dataset.FILES if n != "claims"}, claims=made.claims.limit(6))
+    with pytest.raises(ValueError, match="claims.json"):
+        dataset.write_dataset(changed, str(tmp_path / "e"))
+    assert [p.name for p in tmp_path.iterdir()] == ["d"]
+
+
+def test_rich_texts_and_problems(spark):
+    messages = [{"id": 1, "type": "message", "date_unixtime": "1700000000", "from_id": "u", "text": ["a ", {"text": ["b ", {"text": "c"}, 7]}, {"type": "x"}]}, {"id": 1, "type": "message", "date": "2024-01-01T00:00:00", "text": "again"}, {"id": 3, "type": "message", "date": "never", "text": "late"}, {"type": "message", "date_unixtime": "1", "text": "x"}]
+    records = exported_records(spark.createDataFrame([(0, json.dumps({"messages": messages}))], "export int, value string"))
+    assert [r.text for r in records.orderBy("pos").collect()] == ["a b c", "again", "late", "x"]
+    assert [(r.pos, r.problem) for r in import_problems(records).orderBy("pos").collect()] == [(0, "repeated_id"), (1, "repeated_id"), (2, "unreadable_time"), (3, "missing_id")]
+
+
+def test_entities(spark):
+    from threadloom.functions.text import html_to_text
+
+    rows = ["a &amp; b", "caf&eacute; &#8364;&#x41; &lt;p&gt;", "&amp;lt; x", None, "no entities & all"]
+    out = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, h string").select("i", html_to_text(F.col("h")).alias("t"))
+    assert {r.i: r.t for r in out.collect()} == {0: "a & b", 1: "café €A <p>", 2: "&lt; x", 3: None, 4: "no entities & all"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from functools import reduce
@@ -159,13 +160,21 @@ def redact_hex(text: Column) -> Column:
     return F.regexp_replace(text, r"\b[0-9a-fA-F]{64}\b", "[REDACTED_HEX]")
 
 
-def html_to_text(html: Column) -> Column:
-    """Text of an HTML fragment: scripts and tags go, breaks and block ends make lines, common entities are read, blank lines go."""
-    out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", "")
+def _unescaped(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else html.unescape(t).replace("\xa0", " ") for t in texts.to_pylist()], pa.string())
+
+
+def html_to_text(page: Column) -> Column:
+    """Text of an HTML fragment: scripts and tags go, breaks and block ends make lines, entities are read, blank lines go."""
+    out = F.regexp_replace(page, r"(?is)<(script|style)\b.*?</\1\s*>", "")
     out = F.regexp_replace(out, r"(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr)\s*>", "\n")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", "")
+    # the commonest entities in the JVM; only texts that hold others go to Python
+    plain = out
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
+        plain = F.replace(plain, F.lit(name), F.lit(char))
+    other = out.rlike(r"&(?!(?:lt|gt|quot|#39|nbsp|amp);)[#\w]")
+    out = F.when(other, F.arrow_udf(_unescaped, "string")(F.when(other, out))).otherwise(plain)
     return F.array_join(F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 

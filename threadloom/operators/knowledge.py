@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,51 +14,51 @@ K1, B, RRF = 1.2, 0.75, 60
 MAX_TOKENS, OVERLAP = 180, 30
 POOL, DEEP = 20, 40
 
-_HEADING = re.compile(r"(#{1,6})\s+(.*\S)\s*$", re.S)
-_ASKS = re.compile(r"(?:Q(?:uestion)?|P(?:regunta)?)\s*[:：]|[^.!?。！？]{2,120}[?？]", re.I)
-_PAGE = re.compile(r"\[Page (\d+)\]")
-CHUNK = "array<struct<section: string, parent_heading: string, page: int, ordinal: int, token_count: int, text: string>>"
-
-
-def split_chunks(content: str, faq: bool, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> list[dict]:
-    """Chunks of a text: its blocks under their headings (of a FAQ a question with its answer), long ones in overlapping pieces."""
-    blocks = [b.strip() for b in re.split(r"\n\s*\n", content)]
-    section, trail, placed = None, [], []
-    for block in filter(None, blocks):
-        head = _HEADING.match(block) if "\n" not in block else None
-        if head:
-            level, section = len(head[1]), head[2].strip()
-            trail = [*[t for t in trail if t[0] < level], (level, section)]
-        else:
-            placed.append((section, " > ".join(t[1] for t in trail) or None, block))
-    if not placed:
-        placed = [(section, " > ".join(t[1] for t in trail) or None, content.strip())]
-    units, k = [], 0
-    while k < len(placed):
-        s, p, text = placed[k]
-        if faq and k + 1 < len(placed) and placed[k + 1][:2] == (s, p) and _ASKS.match(text):
-            text, k = f"{text}\n\n{placed[k + 1][2]}", k + 1
-        units.append((s, p, text))
-        k += 1
-    out = []
-    for s, p, text in units:
-        words = text.split()
-        step = max(1, max_tokens - overlap)
-        for piece in [text] if len(words) <= max_tokens else [" ".join(words[i : i + max_tokens]) for i in range(0, len(words), step)]:
-            page = _PAGE.search(piece)
-            out.append({"section": s, "parent_heading": p, "page": int(page[1]) if page else None, "ordinal": len(out), "token_count": len(piece.split()), "text": piece})
-    return out
+# What is a heading, a question of a FAQ, and a page mark.
+HEADING = r"^(#{1,6})\s+(.+?)\s*$"
+ASKS = r"(?iU)^(?:(?:Q(?:uestion)?|P(?:regunta)?)\s*[:：]|[^.!?。！？]{2,120}[?？])"
+PAGE = r"\[Page (\d+)\]"
 
+_SPACE = r"[\s\x1c-\x1f]"
 
-def chunk(revisions: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
-    """A row for each chunk of revisions (revision_id, source_type, content), with chunk_id."""
 
-    @F.pandas_udf(CHUNK)
-    def cut(content: pd.Series, kind: pd.Series) -> pd.Series:
-        return pd.Series([split_chunks(c or "", k == "faq", max_tokens, overlap) for c, k in zip(content, kind, strict=True)])
+def chunk(revisions: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
+    """A row for each chunk of revisions (revision_id, source_type, content): chunk_id, section, parent_heading, page, ordinal, token_count, text.
 
-    rows = revisions.select("revision_id", F.explode(cut("content", "source_type")).alias("c")).select("revision_id", "c.*")
-    return rows.withColumn("chunk_id", F.concat_ws(":", F.col("revision_id").cast("string"), F.col("ordinal").cast("string")))
+    Blocks are what blank lines separate. A block belongs to the last heading before it, and under those of lower levels that still hold there. In a FAQ a
+    question goes with the block after it. Units of more than max_tokens words come in overlapping pieces. A text without blocks of its own is one chunk.
+    """
+    strip = lambda c: F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    whole = revisions.select("revision_id", (F.col("source_type") == "faq").alias("faq"), F.coalesce("content", F.lit("")).alias("content"))
+    # a last row stands for the text itself, and counts where no other block does
+    texts = F.concat(F.transform(F.split("content", r"(?U)\n\s*\n"), strip), F.array(strip(F.col("content"))))
+    rows = whole.select("revision_id", "faq", F.size(texts).alias("n"), F.posexplode(texts).alias("pos", "text")).withColumn("end", F.col("pos") == F.col("n") - 1).where("text != '' OR end")
+    level = F.when(~F.col("end"), F.length(F.regexp_extract("text", HEADING, 1)))
+    rows = rows.withColumns({"level": F.when(level > 0, level), "name": F.regexp_extract("text", HEADING, 2)})
+    so_far = Window.partitionBy("revision_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    last = {k: F.last(F.when(F.col("level") == k, F.struct("pos", "name")), ignorenulls=True).over(so_far) for k in range(1, 7)}
+    rows = rows.withColumns({f"h{k}": v for k, v in last.items()} | {"section": F.last(F.when(F.col("level").isNotNull(), F.col("name")), ignorenulls=True).over(so_far), "part": F.count("level").over(so_far)})
+    holds = [F.when(F.col(f"h{k}.pos") > F.greatest(F.lit(-1), *[F.coalesce(f"h{j}.pos", F.lit(-1)) for j in range(1, k)]), F.col(f"h{k}.name")) for k in range(1, 7)]
+    trail = F.array_join(F.array_compact(F.array(*holds)), " > ")
+    everything = Window.partitionBy("revision_id")
+    rows = rows.withColumns({"parent_heading": F.when(trail != "", trail), "body": F.col("level").isNull() & ~F.col("end")})
+    rows = rows.withColumn("bodies", F.count_if("body").over(everything)).where(F.col("body") | (F.col("end") & (F.col("bodies") == 0)))
+    # of neighbouring questions every other one, from the first on, takes the block after it
+    section = Window.partitionBy("revision_id", "part").orderBy("pos")
+    asks = F.col("faq") & F.col("text").rlike(ASKS)
+    rows = rows.withColumns({"asks": asks, "nth": F.row_number().over(section), "next": F.lead("text").over(section)})
+    rows = rows.withColumn("run", F.col("nth") - F.row_number().over(Window.partitionBy("revision_id", "part", "asks").orderBy("pos")))
+    rows = rows.withColumn("odd", F.col("asks") & (F.row_number().over(Window.partitionBy("revision_id", "part", "asks", "run").orderBy("pos")) % 2 == 1))
+    rows = rows.withColumn("taken", F.coalesce(F.lag("odd").over(section), F.lit(False))).where(~F.col("taken"))
+    rows = rows.withColumn("text", F.when(F.col("odd") & F.col("next").isNotNull(), F.concat("text", F.lit("\n\n"), "next")).otherwise(F.col("text")))
+    words = lambda c: F.filter(F.split(c, rf"(?U){_SPACE}+"), lambda w: w != "")
+    step = max(1, max_tokens - overlap)
+    cut = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(step)), lambda i: F.array_join(F.slice("w", i + 1, max_tokens), " "))
+    pieces = rows.withColumn("w", words("text")).withColumn("pieces", F.when(F.size("w") <= max_tokens, F.array("text")).otherwise(cut))
+    out = pieces.select("revision_id", "section", "parent_heading", "pos", F.posexplode("pieces").alias("piece", "text"))
+    page = F.regexp_extract("text", PAGE, 1)
+    out = out.select("revision_id", "section", "parent_heading", F.when(page != "", page.cast("int")).alias("page"), (F.row_number().over(Window.partitionBy("revision_id").orderBy("pos", "piece")) - 1).alias("ordinal"), F.size(words("text")).alias("token_count"), "text")
+    return out.withColumn("chunk_id", F.concat_ws(":", F.col("revision_id").cast("string"), F.col("ordinal").cast("string")))
 
 
 def window_chunks(texts: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP, id_: str = "revision_id") -> DataFrame:

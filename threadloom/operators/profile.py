@@ -10,6 +10,7 @@ from ..functions.text import words_without_marks
 # Patterns of the candidate kinds.
 QUESTION = r"(?i)\?|\b(how|what|when|where|why|who|can (i|we|you)|does anyone|help|which)\b"
 SUPPORT = r"(?i)\b(try|use|you can|buy on|available|works|worked|link|here|kraken|uphold|binance|coinbase|wallet|exchange)\b"
+PROJECT = r"(?i)\b(xrp|ripple|sec|ledger|wallet|exchange|buy|hold|pump|price|february|feb|est)\b"
 COMPLAINT = r"(?i)\b(scam|fake|cannot|can't|cant|not working|doesn't work|problem|issue|lost|dump|blocked|banned|admin|lock(ed)?)\b"
 
 
@@ -34,5 +35,5 @@ def candidate_kinds(messages: DataFrame) -> DataFrame:
     words = F.regexp_count(text, F.lit(r"(?U)[\w']+"))
     return messages.groupBy("community_id").agg(
         F.count(F.lit(1)).alias("messages"), F.count_if(text.rlike(QUESTION)).alias("question_help"), F.count_if(text.rlike(SUPPORT) & F.col("reply_to_message_id").isNotNull()).alias("support_replies"),
-        F.count_if(text.rlike(COMPLAINT)).alias("complaint"), F.count_if(words <= 3).alias("filler"), F.count("reply_to_message_id").alias("resolved_replies"),
+        F.count_if(text.rlike(PROJECT)).alias("project_discussion"), F.count_if(text.rlike(COMPLAINT)).alias("complaint"), F.count_if(words <= 3).alias("filler"), F.count("reply_to_message_id").alias("resolved_replies"),
     )

@@ -221,13 +221,30 @@ wide AS (SELECT s.campaign_id AS scope_id, s.community_id, round(cu / nullif(u,
     r["temporal_state"] = rev + " SELECT source_id, version, CASE WHEN TIMESTAMP '2024-01-20' < effective_from THEN 'future' WHEN TIMESTAMP '2024-01-20' >= superseded_at THEN 'inactive' ELSE 'active' END AS temporal_state FROM ve"
     ch = "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda z: z <> '') AS w FROM documents), c AS (SELECT doc_id, i AS ordinal, w[i * 150 + 1:i * 150 + 180] AS p FROM (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) <= 180 THEN 1 ELSE (len(w) - 1) // 150 + 1 END)) AS i FROM w WHERE len(w) > 0)), ck AS (SELECT doc_id, ordinal::BIGINT AS ordinal, len(p) AS token_count, array_to_string(p, ' ') AS text FROM c)"
     r["window_chunks"] = ch + " SELECT doc_id, ordinal, token_count, sha256(text) AS text_sha256 FROM ck"
+    nl = "chr(10) || chr(10)"
+    tail = f" || {nl} || ".join(map(quote, ("## Part", "Q: what is this", "Question: and this", "last words", "### Deep", "end [Page 7]", "## Next", "How long?", "# Other", "plain")))
+    level = [f"max(CASE WHEN lv = {k} THEN pos END) OVER w AS p{k}, last_value(CASE WHEN lv = {k} THEN name END IGNORE NULLS) OVER w AS n{k}" for k in range(1, 7)]
+    holds = [f"CASE WHEN p{k} > greatest(0, " + ", ".join(f"coalesce(p{j}, 0)" for j in range(1, k)) + f"{', ' if k > 1 else ''}0) THEN n{k} END" for k in range(1, 7)]
+    r["structured_chunks"] = f"""WITH c AS (SELECT doc_id, doc_id % 4 <> 0 AS faq, coalesce('# Guide ' || (doc_id % 3) || {nl} || replace(text, chr(10), {nl}) || {nl} || {tail}, '') AS content FROM documents),
+sp AS (SELECT doc_id, faq, content, unnest(b) AS t, generate_subscripts(b, 1) AS pos FROM (SELECT *, regexp_split_to_array(content, '\\n\\s*\\n') AS b FROM c)),
+bl AS (SELECT doc_id, faq, pos, t, CASE WHEN regexp_matches(t, '^(#{{1,6}})\\s+(.+?)\\s*$') THEN length(regexp_extract(t, '^(#{{1,6}})\\s+(.+?)\\s*$', 1)) END AS lv, regexp_extract(t, '^(#{{1,6}})\\s+(.+?)\\s*$', 2) AS name FROM (SELECT * REPLACE (regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS t) FROM sp) WHERE t <> ''),
+hd AS (SELECT *, last_value(CASE WHEN lv IS NOT NULL THEN name END IGNORE NULLS) OVER w AS section, count(lv) OVER w AS part, {", ".join(level)} FROM bl WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+bo AS (SELECT doc_id, faq, pos, t, section, part, nullif(array_to_string(list_filter([{", ".join(holds)}], lambda z: z IS NOT NULL), ' > '), '') AS parent_heading FROM hd WHERE lv IS NULL
+       UNION ALL SELECT doc_id, faq, 0, content, NULL, 0, NULL FROM c WHERE content = ''),
+qu AS (SELECT *, faq AND regexp_matches(t, '(?i)^(?:(?:Q(?:uestion)?|P(?:regunta)?)\\s*[:：]|[^.!?。！？]{{2,120}}[?？])') AS asks, row_number() OVER s AS nth, lead(t) OVER s AS nxt FROM bo WINDOW s AS (PARTITION BY doc_id, part ORDER BY pos)),
+ru AS (SELECT *, nth - row_number() OVER (PARTITION BY doc_id, part, asks ORDER BY pos) AS run FROM qu), od AS (SELECT *, asks AND row_number() OVER (PARTITION BY doc_id, part, asks, run ORDER BY pos) % 2 = 1 AS odd FROM ru),
+un AS (SELECT * REPLACE (CASE WHEN odd AND nxt IS NOT NULL THEN t || {nl} || nxt ELSE t END AS t) FROM od QUALIFY NOT coalesce(lag(odd) OVER (PARTITION BY doc_id, part ORDER BY pos), FALSE)),
+wo AS (SELECT *, list_filter(regexp_split_to_array(t, '\\s+'), lambda z: z <> '') AS w FROM un),
+pi AS (SELECT doc_id, section, parent_heading, pos, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (SELECT *, CASE WHEN len(w) <= 180 THEN [t] ELSE list_transform(range(0, len(w), 150), lambda i: array_to_string(w[i + 1:i + 180], ' ')) END AS ps FROM wo)),
+nu AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) - 1 AS ordinal FROM pi)
+SELECT doc_id || ':' || ordinal AS chunk_id, doc_id AS revision_id, section, parent_heading, try_cast(nullif(regexp_extract(p, '\\[Page (\\d+)\\]', 1), '') AS BIGINT) AS page, ordinal, len(list_filter(regexp_split_to_array(p, '\\s+'), lambda z: z <> '')) AS token_count, sha256(p) AS text_sha256 FROM nu"""
     r["neighbor_context"] = ch + ", h AS (SELECT doc_id, ordinal AS o FROM ck), nb AS (SELECT h.doc_id, h.o AS hit_ordinal, ck.ordinal, ck.text, coalesce(sum(length(ck.text)) OVER (PARTITION BY h.doc_id, h.o ORDER BY CASE WHEN ck.ordinal = h.o THEN 0 ELSE 1 END, ck.ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM h JOIN ck ON ck.doc_id = h.doc_id AND ck.ordinal BETWEEN h.o - 1 AND h.o + 1) SELECT doc_id, hit_ordinal, ordinal, least(length(text), 2000 - used)::BIGINT AS chars, sha256(substr(text, 1, (2000 - used)::BIGINT)) AS text_sha256 FROM nb WHERE used < 2000"
     r["quote_check"] = "WITH q AS (SELECT item_id, doc_id, b.text AS quote, d.text FROM benchmark b CROSS JOIN documents d) SELECT item_id, doc_id, trim(regexp_replace(quote, '\\s+', ' ', 'g')) <> '' AND contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))) AS found FROM q"
     stop = ", ".join(map(quote, t.STOP_TERMS))
     r["search_terms"] = f"SELECT item_id, array_to_string(list_distinct_ordered, ',') AS terms FROM (SELECT item_id, list_filter(tt, lambda z, i: list_position(tt, z) = i) AS list_distinct_ordered FROM (SELECT item_id, list_transform(list_filter(list_transform(regexp_extract_all(text, '[\\pL\\pN_]+'), lambda z: replace(lower(z), 'ß', 'ss')), lambda z: length(z) > 1 AND z NOT IN ({stop})), lambda z: CASE WHEN regexp_matches(z, '^[\\x00-\\x7F]{{4,}}s$') THEN substr(z, 1, length(z) - 1) ELSE z END) AS tt FROM benchmark))"
     r["sender_concentration"] = BASE + ", c AS (SELECT community_id, user_id_hash, count(*) AS n FROM m GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY n DESC, user_id_hash) AS rk FROM c) SELECT community_id, count(*) AS senders, sum(n)::BIGINT AS messages, round(sum(CASE WHEN rk <= 1 THEN n ELSE 0 END) / sum(n)::DOUBLE, 9) AS top_sender_share, round(sum(CASE WHEN rk <= 10 THEN n ELSE 0 END) / sum(n)::DOUBLE, 9) AS top_senders_share FROM k GROUP BY 1"
     r["repeated_text_rate"] = "WITH x AS (SELECT source AS community_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\pL\\pN\\pM_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS k FROM documents), g AS (SELECT community_id, k, count(*) AS n FROM x GROUP BY ALL) SELECT community_id, sum(n)::BIGINT AS messages, round(sum(CASE WHEN n > 1 AND k <> '' THEN n ELSE 0 END) / sum(n)::DOUBLE, 9) AS repeated_text_rate FROM g GROUP BY 1"
-    r["candidate_kinds"] = BASE + " SELECT community_id, count(*) AS messages, count(*) FILTER (regexp_matches(text, '(?i)\\?|\\b(how|what|when|where|why|who|can (i|we|you)|does anyone|help|which)\\b')) AS question_help, count(*) FILTER (regexp_matches(text, '(?i)\\b(try|use|you can|buy on|available|works|worked|link|here|kraken|uphold|binance|coinbase|wallet|exchange)\\b') AND reply_to_message_id IS NOT NULL) AS support_replies, count(*) FILTER (regexp_matches(text, '(?i)\\b(scam|fake|cannot|can''t|cant|not working|doesn''t work|problem|issue|lost|dump|blocked|banned|admin|lock(ed)?)\\b')) AS complaint, count(*) FILTER (len(regexp_extract_all(text, '[\\pL\\pN_'']+')) <= 3) AS filler, count(reply_to_message_id) AS resolved_replies FROM m GROUP BY 1"
+    r["candidate_kinds"] = BASE + " SELECT community_id, count(*) AS messages, count(*) FILTER (regexp_matches(text, '(?i)\\?|\\b(how|what|when|where|why|who|can (i|we|you)|does anyone|help|which)\\b')) AS question_help, count(*) FILTER (regexp_matches(text, '(?i)\\b(try|use|you can|buy on|available|works|worked|link|here|kraken|uphold|binance|coinbase|wallet|exchange)\\b') AND reply_to_message_id IS NOT NULL) AS support_replies, count(*) FILTER (regexp_matches(text, '(?i)\\b(xrp|ripple|sec|ledger|wallet|exchange|buy|hold|pump|price|february|feb|est)\\b')) AS project_discussion, count(*) FILTER (regexp_matches(text, '(?i)\\b(scam|fake|cannot|can''t|cant|not working|doesn''t work|problem|issue|lost|dump|blocked|banned|admin|lock(ed)?)\\b')) AS complaint, count(*) FILTER (len(regexp_extract_all(text, '[\\pL\\pN_'']+')) <= 3) AS filler, count(reply_to_message_id) AS resolved_replies FROM m GROUP BY 1"
     gone = "html"
     for pattern, to in (("<script\\b.*?</script\\s*>", ""), ("<style\\b.*?</style\\s*>", ""), ("<br\\s*/?>|</(p|div|li|h[1-6]|tr)\\s*>", "chr(10)"), ("<[^>]*>", "")):
         gone = f"regexp_replace({gone}, {quote(pattern)}, {to or quote('')}, 'gis')"

@@ -323,8 +323,12 @@ def window_chunks(spark, d):
 
 
 def structured_chunks(spark, d):
-    revisions = src.table(spark, d, "documents").select(F.col("doc_id").alias("revision_id"), F.lit("faq").alias("source_type"), F.regexp_replace("text", "\n", "\n\n").alias("content"))
-    return knowledge.chunk(revisions).select("chunk_id", "revision_id", "ordinal", "token_count", F.sha2("text", 256).alias("text_sha256"))
+    """Documents as pages of a FAQ: a heading, the text's lines as blocks, and sections with questions below."""
+    tail = "\n\n## Part\n\nQ: what is this\n\nQuestion: and this\n\nlast words\n\n### Deep\n\nend [Page 7]\n\n## Next\n\nHow long?\n\n# Other\n\nplain"
+    content = F.concat(F.lit("# Guide "), F.col("doc_id") % 3, F.lit("\n\n"), F.regexp_replace("text", "\n", "\n\n"), F.lit(tail))
+    revisions = src.table(spark, d, "documents").select(F.col("doc_id").alias("revision_id"), F.when(F.col("doc_id") % 4 == 0, "whitepaper").otherwise("faq").alias("source_type"), content.alias("content"))
+    out = knowledge.chunk(revisions).withColumn("text_sha256", F.sha2("text", 256))
+    return out.select("chunk_id", "revision_id", "section", "parent_heading", F.col("page").cast("long").alias("page"), F.col("ordinal").cast("long").alias("ordinal"), F.col("token_count").cast("long").alias("token_count"), "text_sha256")
 
 
 def neighbor_context(spark, d):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +37,19 @@ def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def read_dataset(spark: SparkSession, path: str) -> Dataset:
-    """The six files of a dataset (or folders of part files by these names); a value that doesn't fit its type fails the read."""
-    return Dataset(**{name: _read(spark, path, name) for name in FILES})
+    """The six files of a dataset (or folders of part files by these names); a value that doesn't fit its type fails the read.
+
+    Where the manifest has checksums, content that differs from them, or a generation that isn't theirs, is a ValueError.
+    """
+    data = Dataset(**{name: _read(spark, path, name) for name in FILES})
+    told = data.manifest.where("artifact_checksums IS NOT NULL").select("dataset_id", "generation_id", "artifact_checksums").first()
+    if told is not None:
+        have = checksums(data)
+        if told.artifact_checksums != have:
+            raise ValueError("checksum mismatch: " + ", ".join(sorted(k for k in have if told.artifact_checksums.get(k) != have[k])))
+        if told.generation_id != generation_id(told.dataset_id, have):
+            raise ValueError("generation identifier mismatch")
+    return data
 
 
 def read_strict_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -45,11 +57,44 @@ def read_strict_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.parse_json("value").alias("v"))
 
 
+def checksums(data: Dataset) -> dict[str, str]:
+    """The content's checksum of each table but the manifest, by its file's name."""
+    return {FILES[n]: checksum(getattr(data, n).select(*[c.split()[0] for c in _TYPES[n].split(", ")])).first()[0] for n in FILES if n != "manifest"}
+
+
+def sealed(data: Dataset) -> Dataset:
+    """data with its checksums and generation in the manifest."""
+    found = checksums(data)
+    id_ = data.manifest.select("dataset_id").first()
+    stamp = F.create_map(*[F.lit(x) for kv in sorted(found.items()) for x in kv])
+    return replace(data, manifest=data.manifest.withColumns({"artifact_checksums": stamp, "generation_id": F.lit(generation_id(id_[0], found) if id_ else None)}))
+
+
 def write_dataset(data: Dataset, path: str) -> None:
-    """Writes each table as a folder by its file's name; fails if one is there."""
-    for name in FILES:
-        writer = getattr(data, name).write.mode("errorifexists").option("ignoreNullFields", "false")
-        writer.csv(f"{path}/{FILES[name]}", header=True) if FILES[name].endswith(".csv") else writer.json(f"{path}/{FILES[name]}")
+    """Writes each table as a folder by its file's name into a folder beside path, reads that back, and renames it to path at once, so that path has a
+    whole dataset or none. Fails if path is there."""
+    spark = data.messages.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    there, made = hadoop.Path(path), hadoop.Path(staging)
+    files = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(there):
+        raise FileExistsError(path)
+    try:
+        for name in FILES:
+            table, at = getattr(data, name), f"{staging}/{FILES[name]}"
+            if name in ("campaigns", "claims", "manifest"):  # one array each: these few rows describe the others
+                table = table.agg(F.to_json(F.collect_list(F.struct("*")), {"ignoreNullFields": "false"}).alias("value"))
+                table.write.text(at)
+            elif FILES[name].endswith(".csv"):
+                table.write.csv(at, header=True)
+            else:
+                table.write.option("ignoreNullFields", "false").json(at)
+        read_dataset(spark, staging)
+        if files.exists(there) or not files.rename(made, there):
+            raise FileExistsError(path)
+    finally:
+        files.delete(made, True)
 
 
 def serialized(df: DataFrame) -> DataFrame:

@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schema
+from .dataset import Dataset, sealed
+
 # community, language, share of the messages beyond the least number
 COMMUNITIES = (("community_a", "en", 45), ("community_b", "es", 25), ("community_c", "zh", 17), ("community_d", "ar", 13))
 CAMPAIGNS = (("stake", "2026-09-01", "2026-09-08"), ("referral", "2026-09-08", "2026-09-15"), ("launch", "2026-09-15", "2026-09-22"))
 # role, parent's place in the five messages of a cycle, text
 TEMPLATES = (("moderator", None, "official campaign update"), ("user", 0, "what is the deadline?"), ("moderator", 1, "the deadline is friday"), ("user", 2, "thanks for the clear answer"), ("user", 1, "i joined and it worked"))
+# claim, campaign, importance, text
+CLAIMS = (
+    ("stake_reward", "stake", "critical", "Staking pays 100 tokens."), ("stake_deadline", "stake", "high", "Staking ends on Friday."), ("referral_bonus", "referral", "high", "A referral pays 10 tokens."), ("referral_limit", "referral", "medium", "Ten referrals count."),
+    ("launch_date", "launch", "critical", "The launch is on September 20."), ("launch_access", "launch", "medium", "Members have access first."), ("launch_feedback", "launch", "low", "Feedback is invited."),
+)
+# what is expected of each place in a cycle: behaviors, status of a claim, status of a question
+EXPECTED = ((("campaign_propagation",), "covered", None), (("campaign_question",), None, "answered"), (("question_answering",), None, None), (("positive_feedback",), None, None), (("CTA_response",), None, None))
 LEAST = len(COMMUNITIES) * len(CAMPAIGNS) * len(TEMPLATES)
 
 
@@ -43,3 +53,31 @@ def generate_messages(spark: SparkSession, seed: int, count: int) -> DataFrame:
     parent = of("k", [-1 if t[1] is None else t[1] for t in TEMPLATES])
     return rows.select(name(i).alias("message_id"), pick([c[0] for c in COMMUNITIES]).alias("community_id"), pick([c[1] for c in COMMUNITIES]).alias("language"), user.alias("user_id_hash"), role.alias("user_role"), at.alias("timestamp"),
                        F.concat_ws(" ", of("g", [c[0] for c in CAMPAIGNS]), of("k", [t[2] for t in TEMPLATES])).alias("text"), F.when(parent >= 0, name(i - F.col("k") + parent)).alias("reply_to_message_id"), of("g", [c[0] for c in CAMPAIGNS]).alias("campaign_id"))
+
+
+def generate_dataset(spark: SparkSession, seed: int, count: int) -> Dataset:
+    """All six tables: count messages with an annotation each, the campaigns and their claims, an outcome for each campaign and community, and a manifest
+    with checksums."""
+    messages = generate_messages(spark, seed, count)
+    campaigns = spark.createDataFrame([(c, c.title(), a, b, f"The {c} campaign.") for c, a, b in CAMPAIGNS], "campaign_id string, campaign_name string, a string, b string, campaign_brief string")
+    campaigns = campaigns.select("campaign_id", "campaign_name", F.to_timestamp("a").alias("start_time"), F.to_timestamp("b").alias("end_time"), "campaign_brief")
+    claims = spark.createDataFrame([(k, c, text, level) for k, c, level, text in CLAIMS], schema.CLAIMS)
+    pairs = spark.createDataFrame([(c[0], g[0]) for c in CAMPAIGNS for g in COMMUNITIES], "campaign_id string, community_id string")
+    draw = lambda name, most: F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "campaign_id", "community_id", F.lit(name)), 256), 1, 8), 16, 10).cast("long"), F.lit(most))
+    outcomes = pairs.select("campaign_id", "community_id", (draw("participants", 400) + 20).alias("participants"), (draw("conversion", 1000) / 1000).alias("conversion"), draw("new_users", 200).alias("new_users"), (draw("retention", 1000) / 1000).alias("retention"), draw("referrals", 100).alias("referrals"), F.lit(True).alias("synthetic"))
+    place = F.element_at(F.array(*[F.struct(F.array(*map(F.lit, b)).alias("b"), F.lit(c).cast("string").alias("c"), F.lit(q).cast("string").alias("q")) for b, c, q in EXPECTED]), (F.col("k") + 1).cast("int"))
+    text = F.substring_index("text", " ", -1)
+    ends = {t[2].split()[-1]: i for i, t in enumerate(TEMPLATES)}
+    which = F.create_map(*[F.lit(x) for kv in ends.items() for x in kv])[text]
+    told = messages.withColumn("k", which).withColumn("e", place)
+    annotations = told.select(F.regexp_replace("message_id", "^msg", "ann").alias("annotation_id"), "message_id", "community_id", F.col("e.b").alias("expected_behaviors"), F.col("e.c").alias("expected_claim_status"), F.col("e.q").alias("expected_question_status"))
+    annotations = annotations.select("annotation_id", "message_id", F.concat(F.lit("scenario_"), F.substring_index("community_id", "_", -1)).alias("scenario"), "expected_behaviors", "expected_claim_status", "expected_question_status", F.lit("Reference annotation of made-up data.").alias("notes"))
+    scenarios = F.create_map(*[F.lit(x) for c, _, _ in COMMUNITIES for x in (c, f"scenario_{c[-1]}")])
+    fixed = lambda xs: F.array(*map(F.lit, xs))
+    kinds = dict(c.split(" ", 1) for c in schema.MANIFEST.split(", ") if " " in c)
+    known = {
+        "dataset_id": F.lit(f"synthetic_{seed}_{count}"), "schema_version": F.lit("1"), "synthetic": F.lit(True), "seed": F.lit(seed), "message_count": F.lit(count), "community_ids": fixed([c[0] for c in COMMUNITIES]), "languages": fixed([c[1] for c in COMMUNITIES]),
+        "campaign_ids": fixed([c[0] for c in CAMPAIGNS]), "scenarios": scenarios, "generated_at": F.to_timestamp(F.lit(CAMPAIGNS[0][1])), "source_format": F.lit("synthetic"), "limitations": fixed(["Made-up data."]),
+    }
+    manifest = spark.range(1).select(*[known.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+    return sealed(Dataset(messages=messages, campaigns=campaigns, claims=claims, outcomes=outcomes, annotations=annotations, manifest=manifest))
