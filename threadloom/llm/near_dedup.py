@@ -33,7 +33,7 @@ from .words import LOWER, chunked_words, mix
 #: Documents up to which a shingle counts as rare, and documents compared together; larger groups are cut into blocks, two and two.
 #: Tasks over which the rows of one part are dealt in joins; words of two texts from which on they are compared with less memory.
 #: Forests made anew where edges fail, before all pairs that are left are compared.
-RARE, BLOCK, SALTS, LONG_WORDS, FORESTS = 32, 1024, 16, 200_000, 3
+RARE, BLOCK, SALTS, LONG_WORDS, FORESTS = 32, 1024, 16, 200_000, 1
 
 _ID = [ROW_FILE, ROW_INDEX]
 
@@ -163,24 +163,21 @@ def _plausible(key: np.ndarray, node: np.ndarray, n: np.ndarray, part: np.ndarra
     size = np.fromiter(map(len, sketches), np.int64, len(sketches)) // 8
     rows: dict[int, np.ndarray] = {}
     at = np.zeros(len(size), np.int64)
-    for s in np.unique(size):
+    sizes, kind = np.unique(size, return_inverse=True)
+    for s in sizes:
         mine = np.flatnonzero(size == s)
         at[mine] = np.arange(len(mine))
         rows[int(s)] = np.frombuffer(b"".join([sketches[i] for i in mine]), np.uint64).reshape(len(mine), s)
-    i, d = np.arange(len(key)), 0
-    while True:
-        d += 1
-        i = i[i + d < len(key)]
-        i = i[(key[i] == key[i + d]) & (100 * n[i] >= percent * n[i + d])]
-        if not len(i):
-            return
-        j = i + d
-        cross = (part[i] != part[j]) & (node[i] != node[j])
-        a, b = i[cross], j[cross]
+
+    def close(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        cross = (part[a] != part[b]) & (node[a] != node[b])
+        a, b = a[cross], b[cross]
         total = n[a] + n[b]
         most = total - 2 * -(-percent * total // (100 + percent))
-        for s, wide in set(zip(size[a].tolist(), size[b].tolist(), strict=True)):
-            some = np.flatnonzero((size[a] == s) & (size[b] == wide))
+        both = kind[a] * len(sizes) + kind[b]
+        for code in np.flatnonzero(np.bincount(both)).tolist():
+            s, wide = int(sizes[code // len(sizes)]), int(sizes[code % len(sizes)])
+            some = np.flatnonzero(both == code)
             for part_ in np.array_split(some, max(1, len(some) * wide // 1_000_000)):
                 if not len(part_):
                     continue
@@ -194,6 +191,24 @@ def _plausible(key: np.ndarray, node: np.ndarray, n: np.ndarray, part: np.ndarra
                     ok = apart <= most[part_]
                 yield a[part_[ok]], b[part_[ok]], apart[ok] / total[part_[ok]]
 
+    # large groups some rows with all after them at a time; of small ones every row with the next, then the next but one and so on
+    edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+    large = np.flatnonzero(np.diff(edges) > 128)
+    for lo, hi in zip(edges[large].tolist(), edges[large + 1].tolist(), strict=True):
+        for first in range(lo, hi, 64):
+            mine = np.arange(first, min(first + 64, hi))
+            others = np.arange(first + 1, lo + int(np.searchsorted(n[lo:hi], 100 * n[mine[-1]] // percent, "right")))
+            i, j = np.nonzero((others > mine[:, None]) & (100 * n[mine][:, None] >= percent * n[others]))
+            yield from close(mine[i], others[j])
+    i, d = np.flatnonzero(np.repeat(np.diff(edges) <= 128, np.diff(edges))), 0
+    while True:
+        d += 1
+        i = i[i + d < len(key)]
+        i = i[(key[i] == key[i + d]) & (100 * n[i] >= percent * n[i + d])]
+        if not len(i):
+            return
+        yield from close(i, i + d)
+
 
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int, sure: bool, forest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of nodes for rows (key, node, n, part, sketch, tried) that come in order of key and n.
@@ -327,9 +342,13 @@ class _Keys:
     into blocks: within() has the keys inside blocks, between() those under which blocks meet.
     """
 
-    def __init__(self, marks: DataFrame, ws: Workspace, name: str, percent: int):
-        self.ws, self.name = ws, name
+    def __init__(self, marks: DataFrame, ws: Workspace, name: str, percent: int, few: bool = False):
+        """few: there are BLOCK nodes at most, so every mark is a key."""
+        self.ws, self.name, self.cross = ws, name, False
         self.marks = ws.write(marks, f"{name}_marks")
+        if few:
+            self.within = self.marks.select(F.col("mark").alias("key"), "node")
+            return
         counts = ws.write(self.marks.groupBy("mark").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), f"{name}_counts")
         shared = self.marks.hint("merge").join(counts, "mark")
         small = shared.where(F.col("m") <= BLOCK).select(F.col("mark").alias("key"), "node")
@@ -347,8 +366,9 @@ class _Keys:
 
     def apart(self, keyed: DataFrame, key: str, parts: DataFrame | None, name: str) -> DataFrame:
         """(key, node, part) of the keys that hold several parts; parts is None while each node is its own."""
-        placed = keyed.withColumn("part", F.col("node")) if parts is None else keyed.hint("merge").join(parts, "node")
-        placed = self.ws.write(placed, f"{self.name}_{name}_placed")
+        if parts is None:
+            return keyed.withColumn("part", F.col("node"))
+        placed = self.ws.write(keyed.hint("merge").join(parts, "node"), f"{self.name}_{name}_placed")
         several = placed.groupBy(key).agg(F.min("part").alias("one"), F.max("part").alias("other")).where("one < other").select(key)
         return placed.hint("merge").join(several, key, "left_semi")
 
@@ -369,9 +389,9 @@ class _Keys:
 
 
 def _compare(keyed: DataFrame, sizes: DataFrame, percent: int, sure: bool = False, forest: bool = True) -> DataFrame:
-    """Pairs of nodes of different parts under some key of keyed (key, node, part); sizes has node, n, sketch and tried. Sketches join here, for one shuffle only."""
+    """Pairs of nodes of different parts under some key of keyed (key, node, part), some more than once; sizes has node, n, sketch and tried. Sketches join here, for one shuffle only."""
     ordered = keyed.hint("merge").join(sizes, "node").select("key", "node", "n", "part", "sketch", "tried").repartition("key").sortWithinPartitions("key", "n", "node")
-    return ordered.mapInArrow(lambda x: _candidates(x, percent, sure, forest), "a long, b long").distinct()
+    return ordered.mapInArrow(lambda x: _candidates(x, percent, sure, forest), "a long, b long")
 
 
 def _joined(parts: DataFrame | None, edges: DataFrame, nodes: DataFrame, ws: Workspace, name: str) -> DataFrame:
@@ -422,7 +442,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     # all keys that still hold several parts, then blocks of large marks two by two
     wide = ws.write(_compare(keys.apart(keys.within, "key", parts, "wide"), plain, percent), "wide")
     edges = near.union(wide)
-    keys.drop("near_placed", "wide_placed", "within")
+    keys.drop("wide_placed", "within")
     if keys.cross:
         parts = _joined(parts, wide, classes, ws, "wide_joined")
         edges = edges.union(ws.write(_compare(keys.between(parts, "cross"), plain, percent), "cross"))
@@ -448,14 +468,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         if not open_parts.limit(1).count():
             break
         open_nodes = ws.write(_salted(parts, open_parts, "part"), f"open_nodes_{turn}")
+        few = open_nodes.count() <= BLOCK
         if fine is None:
             fine = ws.write(open_nodes.select("node").join(bodies, "node").mapInArrow(lambda x: _fine(x, shingle_words), "node long, sketch binary"), "fine").join(sizes.drop("sketch"), "node")
-        again = _Keys(keys.marks.hint("merge").join(open_nodes.select("node"), "node", "left_semi"), ws, f"again_{turn}", percent)
+        again = _Keys(keys.marks.hint("merge").join(open_nodes.select("node"), "node", "left_semi"), ws, f"again_{turn}", percent, few)
         tried = vain.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("tried"))
-        meet = again.apart(again.within, "key", open_nodes, "within")
+        meet = again.within.join(open_nodes, "node") if few else again.apart(again.within, "key", open_nodes, "within")
         if again.cross:
             meet = meet.unionByName(again.between(open_nodes, "between"))
-        more = ws.write(_compare(meet, fine.join(tried, "node", "left"), percent, forest=turn < FORESTS), f"more_{turn}")
+        more = ws.write(_compare(meet, fine.join(tried, "node", "left"), percent, forest=turn < FORESTS).distinct(), f"more_{turn}")
         again.drop("marks", "within", "banded", "within_placed", "between_large_placed", "between_apart")
         if not more.limit(1).count():
             break
