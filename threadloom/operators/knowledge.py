@@ -29,7 +29,7 @@ def chunk(revisions: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVE
     question goes with the block after it. Units of more than max_tokens words come in overlapping pieces. A text without blocks of its own is one chunk.
     """
     strip = lambda c: F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
-    whole = revisions.select("revision_id", (F.col("source_type") == "faq").alias("faq"), F.coalesce("content", F.lit("")).alias("content"))
+    whole = revisions.select("revision_id", F.coalesce(F.col("source_type") == "faq", F.lit(False)).alias("faq"), F.coalesce("content", F.lit("")).alias("content"))
     # a last row stands for the text itself, and counts where no other block does
     texts = F.concat(F.transform(F.split("content", r"(?U)\n\s*\n"), strip), F.array(strip(F.col("content"))))
     rows = whole.select("revision_id", "faq", F.size(texts).alias("n"), F.posexplode(texts).alias("pos", "text")).withColumn("end", F.col("pos") == F.col("n") - 1).where("text != '' OR end")
@@ -38,7 +38,7 @@ def chunk(revisions: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVE
     so_far = Window.partitionBy("revision_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     last = {k: F.last(F.when(F.col("level") == k, F.struct("pos", "name")), ignorenulls=True).over(so_far) for k in range(1, 7)}
     rows = rows.withColumns({f"h{k}": v for k, v in last.items()} | {"section": F.last(F.when(F.col("level").isNotNull(), F.col("name")), ignorenulls=True).over(so_far), "part": F.count("level").over(so_far)})
-    holds = [F.when(F.col(f"h{k}.pos") > F.greatest(F.lit(-1), *[F.coalesce(f"h{j}.pos", F.lit(-1)) for j in range(1, k)]), F.col(f"h{k}.name")) for k in range(1, 7)]
+    holds = [F.when(F.col(f"h{k}.pos") > F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(f"h{j}.pos", F.lit(-1)) for j in range(1, k)]), F.col(f"h{k}.name")) for k in range(1, 7)]
     trail = F.array_join(F.array_compact(F.array(*holds)), " > ")
     everything = Window.partitionBy("revision_id")
     rows = rows.withColumns({"parent_heading": F.when(trail != "", trail), "body": F.col("level").isNull() & ~F.col("end")})

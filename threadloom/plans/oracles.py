@@ -248,8 +248,9 @@ SELECT doc_id || ':' || ordinal AS chunk_id, doc_id AS revision_id, section, par
     gone = "html"
     for pattern, to in (("<script\\b.*?</script\\s*>", ""), ("<style\\b.*?</style\\s*>", ""), ("<br\\s*/?>|</(p|div|li|h[1-6]|tr)\\s*>", "chr(10)"), ("<[^>]*>", "")):
         gone = f"regexp_replace({gone}, {quote(pattern)}, {to or quote('')}, 'gis')"
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·")):
         gone = f"replace({gone}, {quote(name)}, {quote(char)})"
+    gone = f"regexp_replace({gone}, '&amp;?', '&', 'g')"  # the one name that also stands without its semicolon here
     r["html_text_extract"] = f"WITH x AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split({gone}, chr(10)), lambda z: trim(z)), lambda z: z <> ''), chr(10)) AS t FROM pages) SELECT page_id, length(t) AS n_chars, len(string_split(t, chr(10))) AS n_lines, sha256(t) AS text_sha256 FROM x"
     r["evidence_union"] = BASE + ", u AS (SELECT message_id FROM m WHERE user_role = 'user' UNION SELECT reply_to_message_id FROM m WHERE reply_to_message_id IS NOT NULL) SELECT community_id, count(*) AS evidence_rows FROM u JOIN m USING (message_id) GROUP BY 1"
     r["evidence_integrity"] = BASE + " SELECT 'missing' AS problem, count(*) AS n FROM m WHERE user_role <> 'user' AND conv_id % 2 = 0 UNION ALL SELECT 'unreferenced', count(*) FROM m WHERE user_role = 'user' AND conv_id % 2 = 1"
@@ -323,6 +324,26 @@ cx AS (SELECT query_id, hit, string_agg(substr(text, 1, (4000 - used)::BIGINT),
     r["knowledge_query"] = store + f" SELECT ci.query_id, place, ci.chunk_id, source_id, state AS temporal_state, round(rrf, 9) AS rrf, 1::BIGINT AS channels, round(len(list_intersect(qt, {terms('text')})) / greatest(1, len(qt))::DOUBLE, 9) AS term_coverage, sha256(context) AS context FROM ci JOIN cx ON cx.query_id = ci.query_id AND cx.hit = ci.chunk_id"
     r["knowledge_statuses"] = store + """, pe AS (SELECT query_id, count(*) FILTER (state = 'active') AS a, count(*) FILTER (state = 'inactive') AS i, count(DISTINCT CASE WHEN state = 'active' THEN source_id END) AS s FROM ci WHERE place <= 2 GROUP BY 1)
 SELECT item_id AS query_id, CASE WHEN pe.query_id IS NULL THEN 'no_authoritative_source' WHEN item_id % 4 = 3 OR item_id % 11 = 0 THEN 'insufficient_evidence' WHEN item_id % 5 = 0 AND s >= 2 THEN 'conflict' WHEN item_id % 5 = 0 THEN 'insufficient_evidence' WHEN a > 0 THEN 'grounded' WHEN i > 0 THEN 'outdated_only' ELSE 'insufficient_evidence' END AS answer_status FROM benchmark LEFT JOIN pe ON pe.query_id = item_id"""
+    r["next_versions"] = rev + " SELECT source_id, max(version) + 1 AS next_version FROM ve GROUP BY 1"
+    kinds = [f"{k}_at_{n}" for k in ("hit", "precision", "recall") for n in (1, 3, 5)] + ["r_precision", "mrr_at_5", "ndcg_at_5"]
+    r["macro_metrics"] = f"SELECT query_id % 3 AS third, {', '.join(f'round(avg({k}), 9) AS {k}' for k in kinds)} FROM ({r['retrieval_metrics']}) GROUP BY 1"
+    r["embedding_backlog"] = ch + """, rt AS (SELECT doc_id, 'Title: guide' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Heading: body' || chr(10) ELSE '' END || chr(10) || text AS t FROM ck)
+SELECT DISTINCT sha256('title-heading-body-v1' || chr(10) || t) AS content_hash, length(t) AS chars FROM rt WHERE t NOT IN (SELECT t FROM rt WHERE doc_id % 4 = 0)"""
+    r["undeclared_values"] = BASE + ", l AS (SELECT DISTINCT language AS key FROM m), g AS (SELECT unnest(['en', 'es', 'ar']) AS key) SELECT 'language_undeclared' AS rule, key FROM l WHERE key NOT IN (SELECT key FROM g) UNION ALL SELECT 'language_unobserved', key FROM g WHERE key NOT IN (SELECT key FROM l)"
+    r["redacted_texts"] = "SELECT doc_id, sha256(regexp_replace(text || ' ' || sha256(text) || ' x' || sha256(text), '\\b[0-9a-fA-F]{64}\\b', '[REDACTED_HEX]', 'g')) AS text_sha256 FROM documents"
+    r["metric_adapters"] = """WITH o AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS d, count(*) FILTER (o_orderstatus = 'P') AS p, count(*) FILTER (o_orderstatus <> 'O') AS c FROM orders GROUP BY 1)
+SELECT o_custkey, round(CASE WHEN c <> 0 THEN d / c::DOUBLE END, 9) AS ratio, CASE WHEN c = 0 THEN 'zero_denominator' ELSE 'observed' END AS reason, round(CASE WHEN c <> 0 THEN (d + 0.5 * p) / c::DOUBLE END, 9) AS coverage FROM o"""
+    r["adapter_violations"] = "SELECT c_custkey, 'part' AS field, CASE WHEN c_custkey % 7 = 0 THEN 'not_finite' ELSE 'not_a_count' END AS problem FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 11 = 0 OR c_custkey % 13 = 0"
+    span = lambda k, a, z, y: f"SELECT community_id, count(*) FILTER (ts >= DATE '{z}') AS messages, count(*) FILTER (ts < DATE '{z}') AS baseline_messages, count(DISTINCT CASE WHEN ts >= DATE '{z}' THEN user_id_hash END) AS users, count(DISTINCT CASE WHEN ts < DATE '{z}' THEN user_id_hash END) AS baseline_users, '{k}' AS kind FROM m WHERE ts >= DATE '{a}' AND ts < DATE '{y}' GROUP BY 1"
+    r["windows_of_all_kinds"] = BASE + " UNION ALL ".join(span(*x) for x in (("24h", "2024-01-02", "2024-01-03", "2024-01-04"), ("7d", "2024-01-01", "2024-01-08", "2024-01-15"), ("30d", "2023-12-02", "2024-01-01", "2024-01-31"), ("custom", "2023-12-28", "2024-01-03", "2024-01-09"), ("since_last_check", "2024-01-09", "2024-01-12", "2024-01-15")))
+    r["answer_statuses"] = """SELECT item_id AS query_id, CASE WHEN item_id % 11 = 0 THEN 'insufficient_evidence' WHEN item_id % 5 = 0 THEN CASE WHEN item_id % 3 <> 0 THEN 'conflict' ELSE 'insufficient_evidence' END WHEN item_id % 7 = 0 THEN 'insufficient_evidence'
+  WHEN item_id % 3 <> 0 THEN 'grounded' ELSE 'outdated_only' END AS answer_status FROM benchmark"""
+    r["chat_pages"] = """WITH t AS (SELECT conv_id AS page, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, turn::VARCHAR AS source_id, CASE WHEN turn % 3 <> 2 THEN role ELSE last_value(CASE WHEN turn % 3 <> 2 THEN role END IGNORE NULLS) OVER (ORDER BY conv_id, turn ROWS UNBOUNDED PRECEDING) END AS sender,
+  TIMESTAMP '2024-02-01 09:00:00' + to_seconds(turn % 60) AS timestamp, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM conversations) SELECT page, pos, source_id, sender, timestamp, sha256(x) AS text_sha256, NULL::VARCHAR AS reply_id FROM t WHERE x <> '' AND sender IS NOT NULL"""
+    key = lambda c: f"""'tg_' || substr(sha256('{{"community":"community_import","message":"' || {c} || '"}}'), 1, 24)"""
+    r["chat_import"] = f"""WITH k AS (SELECT conv_id, turn, turn + 1 AS id, CASE WHEN turn > 0 THEN turn END AS reply, text, 'user' || (conv_id % 7) || '_' || role AS sender, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + turn * 60) AS ts FROM conversations WHERE role <> 'system' AND trim(text) <> '')
+SELECT {key('c.id')} AS message_id, 'community_import' AS community_id, 'en' AS language, 'usr_' || sha256('{{"community":"community_import","sender":"' || c.sender || '"}}') AS user_id_hash, 'user' AS user_role, c.ts AS timestamp, c.text, CASE WHEN p.id IS NOT NULL THEN {key('p.id')} END AS reply_to_message_id, NULL::VARCHAR AS campaign_id,
+  CASE WHEN c.reply IS NOT NULL THEN {key('c.reply')} END AS reply_to_source_key FROM k c LEFT JOIN k p ON p.conv_id = c.conv_id AND p.id = c.reply"""
     r["report_languages"] = BASE + """, lc AS (SELECT scope, community_id, language, count(*) AS n FROM sc GROUP BY ALL), g AS (SELECT campaign_id AS scope_id, community_id FROM camp CROSS JOIN (SELECT DISTINCT community_id FROM m)),
 a AS (SELECT scope, community_id, count(*) AS k, string_agg(language, ',' ORDER BY language) AS l, string_agg(language || '=' || n, ',' ORDER BY language) AS d FROM lc GROUP BY ALL)
 SELECT g.scope_id, g.community_id, CASE WHEN k IS NULL THEN 'no_observation' WHEN k = 1 THEN l ELSE 'multilingual:' || l END AS language_scope, coalesce(d, '') AS distribution FROM g LEFT JOIN a ON a.scope = g.scope_id AND a.community_id = g.community_id"""

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.text import html_to_text, normalize, search_terms
+from ..functions.text import html_to_text, normalize, redact_hex, search_terms
 from ..operators import activation as act
 from ..operators import behavior, campaign, clusters, evaluation, evidence, hygiene, knowledge, metrics, profile, retrieval, threads, validation, workspace
 from ..sources import conversations as src
@@ -476,6 +477,53 @@ def report_feedback(spark, d):
     return out.withColumns({"n_evidence": F.size("evidence_ids").cast("long"), "evidence_sha256": F.sha2(F.array_join("evidence_ids", ","), 256)}).drop("evidence_ids")
 
 
+def next_versions(spark, d):
+    return knowledge.next_version(_versions(spark, d)).withColumn("next_version", F.col("next_version").cast("long"))
+
+
+def macro_metrics(spark, d):
+    return _round(evaluation.macro(retrieval_metrics(spark, d).withColumn("third", F.col("query_id") % 3), "third"))
+
+
+def embedding_backlog(spark, d):
+    """Chunks whose retrieval text an embedder hasn't seen yet; the cache has those of every fourth document."""
+    c = _chunks(spark, d).withColumns({"section": F.when(F.col("revision_id") % 2 == 0, "body"), "parent_heading": F.lit(None).cast("string")})
+    none = spark.createDataFrame([], "content_hash string")
+    cached = knowledge.missing_embeddings(c.where("revision_id % 4 = 0"), none, F.lit("guide"))
+    return knowledge.missing_embeddings(c, Steps(spark, "cache").cut(cached), F.lit("guide")).select("content_hash", F.char_length("retrieval_text").cast("long").alias("chars"))
+
+
+def undeclared_values(spark, d):
+    m = src.messages(spark, d)
+    return validation.set_differences(m, spark.createDataFrame([("en",), ("es",), ("ar",)], "language string"), "language", "language")
+
+
+def redacted_texts(spark, d):
+    t = redact_hex(F.concat(F.col("text"), F.lit(" "), F.sha2("text", 256), F.lit(" x"), F.sha2("text", 256)))
+    return src.table(spark, d, "documents").select("doc_id", F.sha2(t, 256).alias("text_sha256"))
+
+
+def metric_adapters(spark, d):
+    """Ratios and coverages of orders by customer, with the reason where there is none; and counts that aren't counts."""
+    o = src.table(spark, d, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.count_if(F.col("o_orderstatus") == "P").alias("part"), F.count_if(F.col("o_orderstatus") != "O").alias("closed"))
+    ratio, why = metrics.adapt_ratio(F.col("done"), F.col("closed"))
+    covered, _ = metrics.adapt_coverage(F.col("done"), F.col("part"), F.col("closed"))
+    return _round(o.select("o_custkey", ratio.alias("ratio"), why.alias("reason"), covered.alias("coverage")))
+
+
+def adapter_violations(spark, d):
+    k = F.col("c_custkey")
+    f = src.table(spark, d, "customer").select(k, F.when(k % 7 == 0, "many").when(k % 11 == 0, "1.5").when(k % 13 == 0, "-1").otherwise((k % 5).cast("string")).alias("part"), F.lit(3).alias("whole"))
+    return metrics.adapter_violations(f, ["part", "whole"], ["c_custkey"])
+
+
+def windows_of_all_kinds(spark, d):
+    day = lambda k: dt.datetime(2024, 1, k)
+    kinds = (("24h", day(4), {}), ("7d", day(15), {}), ("30d", day(31), {}), ("custom", day(9), {"start": day(3)}), ("since_last_check", day(15), {"checked_through": day(12)}))
+    rows = [workspace.window_vs_baseline(src.messages(spark, d), workspace.resolve_window(k, end, **more)).withColumn("kind", F.lit(k)) for k, end, more in kinds]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def tfidf_weights(spark, d):
     m = src.messages(spark, d).withColumn("norm", normalize(F.col("text")))
     return clusters.tfidf(m).groupBy("message_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 6).alias("weight_sum"))
@@ -532,7 +580,7 @@ _ALL: tuple[Query, ...] = (
     scope_messages, claim_judgments, campaign_summary, scope_metrics_wide, scope_metrics_long, seed_behavior_labels, duplicate_promotion, feedback_counts, metric_quality, group_diagnostics, spearman_pairs, fisher_intervals,
     metric_associations, redundancy, holm_adjust, metric_status, key_differences, role_asof, actor_rollup, freshness, window_vs_baseline, list_messages, late_reply_resolution, import_merge, bm25_topk, vector_topk, rrf_fusion,
     select_candidates, source_diversity, retrieval_metrics, scd2_versions, temporal_state, window_chunks, structured_chunks, neighbor_context, quote_check, answer_statuses, sender_concentration, repeated_text_rate, candidate_kinds,
-    html_text_extract, evidence_union, evidence_integrity, message_violations, source_violations, knowledge_revisions, knowledge_query, knowledge_statuses, report_languages, report_hygiene, report_feedback, metric_tests, tfidf_weights, behavior_clusters, chat_import, chat_pages, synthetic_messages, stream_without_repeats, stream_activity,
+    html_text_extract, evidence_union, evidence_integrity, message_violations, source_violations, knowledge_revisions, knowledge_query, knowledge_statuses, report_languages, report_hygiene, report_feedback, metric_tests, next_versions, macro_metrics, embedding_backlog, undeclared_values, redacted_texts, metric_adapters, adapter_violations, windows_of_all_kinds, tfidf_weights, behavior_clusters, chat_import, chat_pages, synthetic_messages, stream_without_repeats, stream_activity,
 )
 
 
