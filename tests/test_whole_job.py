@@ -4,9 +4,11 @@ import math
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom.functions import ngrams
 from threadloom.functions.text import normal_form
 from threadloom.llm import license_scan, quality
 from threadloom.operators import clusters, profile
@@ -134,3 +136,48 @@ def test_candidate_kinds_of_words_beside_letters_and_marks(spark, tables):
         want = {r[0]: r[1:] for r in c.execute(sql).fetchall()}
     assert {r[0]: tuple(r[1:]) for r in got} == want
     assert sorted(map(tuple, queries.candidate_kinds(spark, path).collect())) == sorted(by_sql("candidate_kinds", path, "conversations"))
+
+
+@pytest.mark.parametrize("dictionary, chunk, chars", [(1 << 20, 32_000, 32_000), (40, 32_000, 32_000), (0, 32_000, 32_000), (1 << 20, 20, 32_000), (300, 32_000, 9)])
+def test_tfidf_of_any_dictionary_and_length_of_text(spark, tables, monkeypatch, dictionary, chunk, chars):
+    monkeypatch.setattr(clusters, "DICTIONARY", dictionary)
+    monkeypatch.setattr(ngrams, "CHUNK", chunk)
+    monkeypatch.setattr(ngrams, "DICTIONARY_CHARS", chars)
+    texts = ["the same text", "the same words, other text", "好好学习 天天向上", "", "a", "ab", "aaaaaaa", "é 👍👍👍 ñ", "zero \0 \0 byte", None, "the " * 40, "x" * 19, "x" * 20, "x" * 21, "x" * 22, "x" * 23, "abc" * 20]
+    rows = [(f"m{i}", t) for i, t in enumerate(texts)] + [("m0", "again the same"), ("m3", "once more"), (None, "no name"), (None, "none of the same"), ("m9", None)]
+    got = {r.message_id: r for r in clusters.tfidf_totals(spark.createDataFrame(rows, "message_id string, norm string").repartition(3)).collect()}
+    grams = {}
+    for k, t in rows:
+        grams.setdefault(k, Counter()).update(t[i : i + n] for n in (2, 3, 4) for i in range(len(t or "") - n + 1))
+    df = Counter(g for x in grams.values() for g in x)
+    want = {k: [(1 + math.log(tf)) * (math.log((1 + len(rows)) / (1 + df[g])) + 1) for g, tf in x.items()] for k, x in grams.items() if x}
+    assert {k: r.terms for k, r in got.items()} == {k: len(w) for k, w in want.items()}
+    for k, w in want.items():
+        assert got[k].weight_sum == pytest.approx(sum(w) / math.sqrt(sum(v * v for v in w)))
+
+
+def test_ngrams_start_anew_where_the_alphabet_is_full(monkeypatch):
+    monkeypatch.setattr(ngrams, "ALPHABET", 12)
+    monkeypatch.setattr(ngrams, "CHUNK", 8)
+    monkeypatch.setattr(ngrams, "HELD", 20)
+    texts = ["abcd", "efgh", "abab", "ijkl", "mnopabcd", "ab", "x", "abababababababababc", "abcdabcda", "abcdabcdabc", "abcdabcdabcd"]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(texts))]), pa.array(texts)], ["id", "text"])
+    got = Counter()
+    for b in ngrams.frequencies(iter([batch, batch]), 2, 4):
+        got.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+    assert got == Counter(g for t in texts * 2 for g in {t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)})
+    got = Counter()
+    for b in ngrams.pairs(iter([batch]), 2, 4):
+        for i, term, n in zip(*(c.to_pylist() for c in b.columns)):
+            got[i, term] += n
+    want = Counter((str(i), t[j : j + n]) for i, t in enumerate(texts) for n in (2, 3, 4) for j in range(len(t) - n + 1))
+    assert {k: n for k, n in got.items() if n} == want
+
+
+def test_tfidf_weights_make_no_row_for_each_term_of_a_message(spark, tables):
+    turns = [(c, t, "user", f"text {c} of turn {t} " * 5) for c in range(40) for t in range(3)]
+    path = tables(conversations=(turns, TURNS))
+    out = queries.tfidf_weights(spark, path)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+    assert sorted((r.message_id, r.terms, r.weight_sum) for r in out.collect()) == sorted(by_sql("tfidf_weights", path, "conversations"))

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ngrams
 from ..storage import Steps
 
 #: Cells that n-grams are hashed to for clustering; a fixed width keeps centres bounded whatever the vocabulary.
 CELLS = 1 << 12
 
+#: Terms of a dictionary that every task holds, the most frequent ones; rarer ones are joined.
+DICTIONARY = 1 << 20
+
 
 def char_ngrams(norm: str = "norm", low: int = 2, high: int = 4):
     """All n-grams of a text's characters, low to high long."""
@@ -33,6 +38,59 @@ def tfidf(messages: DataFrame, low: int = 2, high: int = 4) -> DataFrame:
     return w.join(length, "message_id").select("message_id", "term", (F.col("w") / F.col("length")).alias("weight"))
 
 
+def _dictionary(vocabulary: DataFrame, n: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], bool]:
+    """Terms of the highest frequencies, by powers of two, with their rarity in n messages; whether all terms of several messages are there."""
+    bits = F.length(F.bin("df"))
+    sizes = dict(vocabulary.groupBy(bits.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+    least, total = 65, 0
+    while least > 2 and (total := total + sizes.get(least - 1, 0)) <= DICTIONARY:
+        least -= 1
+    found = vocabulary.where(bits >= least).toArrow()
+    terms, df = found["term"].to_pylist(), found["df"].to_numpy()
+    chars = np.frombuffer("".join(sorted(set().union(*terms))).encode("utf-32-le"), np.uint32)
+    whole = least == 2
+    if len(chars) > ngrams.DICTIONARY_CHARS:
+        chars, whole = chars[: ngrams.DICTIONARY_CHARS], False
+        keep = [max(map(ord, t)) <= chars[-1] for t in terms]
+        terms, df = [t for t, k in zip(terms, keep) if k], df[keep]
+    keys = ngrams.keys_of(terms, chars)
+    order = np.argsort(keys)
+    above = np.array([(1 << 64) - 1], np.uint64)
+    return (chars, np.concatenate([keys[order], above]), np.append(np.log((1 + n) / (1 + df[order])) + 1, 0.0)), whole
+
+
+def tfidf_totals(messages: DataFrame, low: int = 2, high: int = 4) -> DataFrame:
+    """(message_id, terms, weight_sum): of each message that has terms, how many, and the sum of the weights that tfidf() gives.
+
+    A message's terms are counted where its text is and weighed by a dictionary of the most frequent ones. What the dictionary lacks occurs in one message,
+    or else, where the dictionary is full, is joined with its frequency; so are the terms of messages in several rows and of texts over ngrams.CHUNK characters.
+    """
+    steps = Steps(messages.sparkSession, "tfidf")
+    rows = steps.cut(messages.select("message_id", "norm", F.count(F.lit(1)).over(Window.partitionBy("message_id")).alias("rows")))
+    n = rows.count()
+    some = rows.where("norm is not null")
+    alone = F.col("rows") == 1
+    short = F.char_length("norm") <= ngrams.CHUNK
+    single, several = some.where(alone & short).select("message_id", "norm"), some.where(~(alone & short)).select("message_id", "norm")
+    counted = several.mapInArrow(lambda x: ngrams.pairs(x, low, high), "message_id string, term string, tf long").groupBy("message_id", "term").agg(F.sum("tf").alias("tf"))
+    counted = steps.cut(counted.where("tf > 0"))
+    df = single.mapInArrow(lambda x: ngrams.frequencies(x, low, high), "term string, df long").unionByName(counted.select("term", F.lit(1).cast("long").alias("df")))
+    vocabulary = steps.cut(df.groupBy("term").agg(F.sum("df").alias("df")))
+    dictionary, whole = _dictionary(vocabulary, n)
+    held = messages.sparkSession.sparkContext.broadcast(dictionary)
+    absent = math.log((1 + n) / 2) + 1 if whole else None
+    known = single.mapInArrow(lambda x: ngrams.weigh(x, low, high, held.value, absent), "message_id string, term string, tf long, terms long, total double, squares double")
+    rest = counted
+    if not whole:
+        known = steps.cut(known)
+        rest = rest.unionByName(known.where("term is not null").select("message_id", "term", "tf"))
+        known = known.where("term is null")
+    w = (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
+    rest = rest.join(vocabulary, "term").select("message_id", F.lit(1).cast("long").alias("terms"), w.alias("total"), (w * w).alias("squares"))
+    sums = known.select("message_id", "terms", "total", "squares").unionByName(rest).groupBy("message_id").agg(*[F.sum(c).alias(c) for c in ("terms", "total", "squares")])
+    return sums.select("message_id", "terms", (F.col("total") / F.sqrt("squares")).alias("weight_sum"))
+
+
 def cluster_count(messages: DataFrame, most: int = 8) -> int:
     """The root of half the messages, rounded half to even, between 1 and `most`, and no more than there are distinct texts."""
     n, distinct = messages.agg(F.count(F.lit(1)), F.count_distinct(F.sha2("norm", 256))).first()
